@@ -125,6 +125,7 @@ def fit(patterns: list[tuple[list[int], int]], rounds: int = 200) -> tuple[np.nd
         weight = (part * counts[:, None]).T
         share = (weight.sum(1) + 1) / (counts.sum() + k + 1)
         objects = (weight @ bad + 50 * mean) / (weight @ (bad + good) + 50)
+        objects[0] = np.minimum(objects[0], 0.01)  # rules are made to be right when they object
         logs = np.log(share) + bad @ np.log(objects).T + good @ np.log1p(-objects).T
         part = np.exp(logs - logs.max(1, keepdims=True))
         part /= part.sum(1, keepdims=True)
