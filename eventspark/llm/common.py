@@ -78,6 +78,13 @@ def held_out(doc_id: Column, modulus: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus == 1, F.lit(False))
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The same rows in small batches, so that few texts at a time are Python objects."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def column_bytes(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
     """A string column as UTF-8 bytes, without decoding."""
     return batch.column(name).cast(pa.binary()).to_pylist()
@@ -87,7 +94,7 @@ def per_row(df: DataFrame, columns: list[str], text: str, fn: Callable[[bytes |
     """columns of df and what fn makes of each whole text, batch by batch through Arrow."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             made = [fn(x) for x in column_bytes(batch, text)]
             cells = list(zip(*made, strict=True)) if made else [[] for _ in fields]
             kept = [batch.column(c) for c in columns]

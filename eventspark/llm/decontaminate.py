@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import alnum_words, column_bytes, table, written
+from .common import alnum_words, column_bytes, sliced, table, written
 
 WINDOW = 13
 
@@ -178,7 +178,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard
     def scanned(handle) -> DataFrame:
         def run(batches):
             automaton: SuffixAutomaton = handle.value
-            for batch in batches:
+            for batch in sliced(batches):
                 counts, spans, items = [], [], []
                 for text in column_bytes(batch, "text"):
                     sequence = alnum_words(text)

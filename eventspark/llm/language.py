@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, table
+from .common import held_out, sliced, table
 
 BITS = 13
 UNKNOWN = "und"
@@ -126,7 +126,7 @@ def sample(docs: DataFrame, learn: Column, per_language: int, text: str = "text"
     picked = docs.select(key, text).join(F.broadcast(chosen), F.col(key) == F.col("__k")).select("__k", "__l", text)
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             made = [presence(x, bits) for x in batch.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("__k"), batch.column("__l"), pa.array([None if m is None else m.tobytes() for m in made], pa.binary())], names=["k", "l", "on"])
 
@@ -145,7 +145,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text: str = "text",
     handle = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             cells: tuple[list, list] = ([], [])
             for k in range(0, batch.num_rows, 256):
                 for cell, more in zip(cells, handle.value.predict(batch.column(text).slice(k, 256).to_pylist()), strict=True):

@@ -243,7 +243,11 @@ def _added(kind: str) -> Column:
 def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with every span of personal data replaced by its kind in brackets; the columns of docs."""
     found = find(docs, text, keep=docs.columns)
-    tagged = F.array_sort(F.concat(*(F.transform(F.concat(F.col(k), _added(k)), lambda x, k=k: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(k).alias("k"))) for k in KINDS)))
+
+    def tagged_as(kind: str) -> Column:
+        return F.transform(F.concat(F.col(kind), _added(kind)), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(kind).alias("k")))
+
+    tagged = F.array_sort(F.concat(*(tagged_as(k) for k in KINDS)))
     start = F.expr("named_struct('at', 0, 'out', '')")
 
     def step(acc: Column, x: Column) -> Column:

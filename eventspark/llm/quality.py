@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column_bytes, table, words, written  # noqa: F401
+from .common import column_bytes, sliced, table, words, written
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
@@ -83,7 +83,7 @@ def with_measures(df: DataFrame, text: str = "text", keep: list[str] | None = No
     keep = ["doc_id"] if keep is None else keep
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             made = np.array([measures(x) for x in column_bytes(batch, text)], np.int64).reshape(-1, len(FIELDS))
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(made[:, k]) for k in range(len(FIELDS))], names=keep + FIELDS)
 

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column_bytes, lower_words, table, written
+from .common import column_bytes, lower_words, sliced, table, written
 
 SEED = 42
 
@@ -54,7 +54,7 @@ def with_fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id",
     """key, fp (the 64 bits as a long) and th (a hash of the exact text) of every row."""
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             texts = column_bytes(batch, text)
             made = np.array([fingerprint(x, shingle) for x in texts], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(made), batch.column("th")], names=[key, "fp", "th"])

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column_bytes, table, written
+from .common import column_bytes, sliced, table, written
 
 DEPTH = 3
 MIN_TOKENS = 5
@@ -74,7 +74,7 @@ def lines_of(docs: DataFrame, text: str = "text", min_tokens: int = MIN_TOKENS,
     types = [pa.int64()] * 3 + [pa.binary()] * with_line
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             at, cells = [], [[] for _ in names]
             for i, whole in enumerate(column_bytes(batch, text)):
                 for line in dict.fromkeys((whole or b"").split(b"\n")):
@@ -104,7 +104,7 @@ def recurring(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS, min
         close = F.broadcast(close)
 
     def forms(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             made = [wildcards(x.split(b" ")) for x in batch.column("line").to_pylist()]
             at = pa.array(np.repeat(np.arange(len(made)), [len(m) for m in made]), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("tpl").take(at), batch.column("th").take(at), pa.array([x for m in made for x in m], pa.int64())], names=["tpl", "th", "form"])
@@ -144,7 +144,7 @@ def _apply(docs: DataFrame, droppers, text: str, min_tokens: int) -> DataFrame:
     schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept] + ["__emptied boolean"])
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             texts, emptied = [], []
             for whole, drop in zip(column_bytes(batch, text), droppers(batch), strict=True):
                 clean = whole and _cleaned(whole, drop, min_tokens)
