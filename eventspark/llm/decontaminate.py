@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from .common import alnum_words, column_bytes, sliced, table, written
 
 WINDOW = 13
+NAMES = ("n_words", "spans", "items")
 
 
 class SuffixAutomaton:
@@ -168,11 +169,11 @@ def benchmark_shards(benchmark: DataFrame, shard_words: int) -> Iterator[list[tu
         yield shard
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = 2_000_000, key: list[str] | None = None) -> DataFrame:
-    """key columns, n_words, spans (array of word ranges) and items (array of item ids) of each document."""
+def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = 2_000_000, key: list[str] | None = None, names: tuple[str, str, str] = NAMES) -> DataFrame:
+    """key columns, n_words, spans (array of word ranges) and items (array of item ids) of each document, under the given names."""
     spark = docs.sparkSession
     key = ["doc_id"] if key is None else key
-    out_schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in key] + ["n_words long, spans array<struct<s:int,e:int>>, items array<string>"])
+    out_schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in key] + [f"{names[0]} long, {names[1]} array<struct<s:int,e:int>>, {names[2]} array<string>"])
     spans_type, items_type = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())])), pa.list_(pa.string())
 
     def scanned(handle) -> DataFrame:
@@ -186,35 +187,35 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard
                     counts.append(len(sequence))
                     spans.append([{"s": s, "e": e} for s, e in _merged(found)])
                     items.append(sorted(automaton.names[k] for k in which))
-                yield pa.RecordBatch.from_arrays([batch.column(c) for c in key] + [pa.array(counts, pa.int64()), pa.array(spans, spans_type), pa.array(items, items_type)], names=[*key, "n_words", "spans", "items"])
+                yield pa.RecordBatch.from_arrays([batch.column(c) for c in key] + [pa.array(counts, pa.int64()), pa.array(spans, spans_type), pa.array(items, items_type)], names=[*key, *names])
 
         return docs.select(*dict.fromkeys([*key, "text"])).mapInArrow(run, out_schema)
 
     shards = [scanned(spark.sparkContext.broadcast(SuffixAutomaton(x, window))) for x in benchmark_shards(benchmark, shard_words)]
     if not shards:
         shards = [scanned(spark.sparkContext.broadcast(SuffixAutomaton([], window)))]
-    return shards[0] if len(shards) == 1 else _added(docs, shards, key)
+    return shards[0] if len(shards) == 1 else _added(shards, key, names)
 
 
-def _added(docs: DataFrame, shards: list[DataFrame], key: list[str]) -> DataFrame:
+def _added(shards: list[DataFrame], key: list[str], names: tuple[str, str, str]) -> DataFrame:
     """Adds up what several automata found; repeated keys with equal texts keep one row each."""
-    every = shards[0].withColumn("shard", F.lit(0))
+    every = shards[0].withColumn("__shard", F.lit(0))
     for k, more in enumerate(shards[1:], 1):
-        every = every.unionByName(more.withColumn("shard", F.lit(k)))
+        every = every.unionByName(more.withColumn("__shard", F.lit(k)))
     merge = F.udf(lambda found: [(s, e) for s, e in _merged([(x["s"], x["e"]) for x in found])], "array<struct<s:int,e:int>>")
     return (
-        every.groupBy(*key, "n_words")
-        .agg(F.count(F.when(F.col("shard") == 0, 1)).alias("copies"), F.flatten(F.collect_set("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
-        .withColumn("spans", merge("spans"))
-        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-        .select(*key, "n_words", "spans", "items")
+        every.groupBy(*key, names[0])
+        .agg(F.count(F.when(F.col("__shard") == 0, 1)).alias("__copies"), F.flatten(F.collect_set(names[1])).alias(names[1]), F.array_sort(F.array_distinct(F.flatten(F.collect_set(names[2])))).alias(names[2]))
+        .withColumn(names[1], merge(names[1]))
+        .withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
+        .select(*key, *names)
     )
 
 
-def judged(hits: DataFrame, coverage: int = 20) -> DataFrame:
+def judged(hits: DataFrame, coverage: int = 20, names: tuple[str, str, str] = NAMES, n_hit: str = "n_hit", contaminated: str = "contaminated") -> DataFrame:
     """Adds n_hit and contaminated: hit words make up at least one in `coverage` of the words."""
-    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["e"] - x["s"])
-    return hits.withColumn("n_hit", n_hit).withColumn("contaminated", (F.col("n_hit") > 0) & (coverage * F.col("n_hit") >= F.col("n_words")))
+    n = F.aggregate(names[1], F.lit(0).cast("long"), lambda a, x: a + x["e"] - x["s"])
+    return hits.withColumn(n_hit, n).withColumn(contaminated, (F.col(n_hit) > 0) & (coverage * F.col(n_hit) >= F.col(names[0])))
 
 
 def cut(text: str | None, spans: list[tuple[int, int]]) -> str | None:
@@ -239,10 +240,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, c
     """
     carried = [c for c in docs.columns if c != "text"]
     key = [*carried, "text"]
-    found = judged(find_hits(docs, benchmark, window, key=key), coverage).where(~F.col("contaminated"))
+    names = ("__n", "__spans", "__items")
+    found = judged(find_hits(docs, benchmark, window, key=key, names=names), coverage, names, "__hit", "__bad").where("NOT __bad")
     if remove == "spans":
         cutter = F.udf(lambda t, spans: cut(t, [(x["s"], x["e"]) for x in spans]), "string")
-        found = found.withColumn("text", F.when(F.col("n_hit") > 0, cutter("text", "spans")).otherwise(F.col("text")))
+        found = found.withColumn("text", F.when(F.col("__hit") > 0, cutter("text", "__spans")).otherwise(F.col("text")))
     return found.select(*docs.columns)
 
 

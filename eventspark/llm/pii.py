@@ -242,7 +242,8 @@ def _added(kind: str) -> Column:
 
 def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with every span of personal data replaced by its kind in brackets; the columns of docs."""
-    found = find(docs, text, keep=docs.columns)
+    # the row travels as one column, so that its names do not meet the operator's
+    found = find(docs.select(F.struct(*docs.columns).alias("__row"), F.col(text).alias("__text")), "__text", keep=["__row", "__text"])
 
     def tagged_as(kind: str) -> Column:
         return F.transform(F.concat(F.col(kind), _added(kind)), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(kind).alias("k")))
@@ -251,13 +252,13 @@ def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
     start = F.expr("named_struct('at', 0, 'out', '')")
 
     def step(acc: Column, x: Column) -> Column:
-        ahead = F.substring(text, acc["at"] + 1, x["s"] - acc["at"])
+        ahead = F.substring("__text", acc["at"] + 1, x["s"] - acc["at"])
         new = F.struct(x["e"].alias("at"), F.concat(acc["out"], ahead, F.lit("["), F.upper(x["k"]), F.lit("]")).alias("out"))
         grown = F.struct(F.greatest(acc["at"], x["e"]).alias("at"), acc["out"].alias("out"))
         return F.when(x["s"] >= acc["at"], new).otherwise(grown).cast("struct<at:int,out:string>")
 
-    clean = F.aggregate(tagged, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return found.withColumn(text, clean).select(*docs.columns)
+    clean = F.aggregate(tagged, start, step, lambda acc: F.concat(acc["out"], F.substring("__text", acc["at"] + 1, F.length("__text"))))
+    return found.select(*((clean if c == text else F.col("__row")[c]).alias(c) for c in docs.columns))
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

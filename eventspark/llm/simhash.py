@@ -127,9 +127,9 @@ def deduplicated(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """
     found = written(grouped(docs, key=key), "groups")
     smallest = found.where(F.col(key).eqNullSafe(F.col("component_id")))
-    stay = smallest.groupBy("root").agg(F.min("th").alias("th"), F.first("component_id").alias("k")).select("k", "th")
+    stay = smallest.groupBy("root").agg(F.min("th").alias("th"), F.first("component_id").alias("k")).select(F.col("k").alias("__k"), F.col("th").alias("__first"))
     hashed = docs.withColumn("__th", F.xxhash64("text"))
-    kept = hashed.join(stay, hashed[key].eqNullSafe(stay["k"]) & (F.col("__th") == F.col("th")), "left_semi")
+    kept = hashed.join(stay, hashed[key].eqNullSafe(stay["__k"]) & (F.col("__th") == F.col("__first")), "left_semi")
     if smallest.groupBy("root", "th").count().where("count > 1").isEmpty():
         return kept.select(*docs.columns)
     return kept.dropDuplicates([key, "__th"]).select(*docs.columns)

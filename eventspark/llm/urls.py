@@ -118,8 +118,8 @@ def match_rules(addresses: DataFrame, rules: DataFrame, slices: int | None = Non
 
 
 def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", url: str = "url") -> DataFrame:
-    """Adds host, path, rule and verdict to pages; default is the verdict where no rule fits."""
-    addressed = with_address(pages, url)
+    """Adds host, path, rule and verdict to pages (in place of columns of these names); default is the verdict where no rule fits."""
+    addressed = with_address(pages.drop("host", "path", "rule", "verdict"), url)
     found = match_rules(addressed, rules)
     return addressed.join(found, ["host", "path"], "left").withColumn("verdict", F.coalesce("verdict", F.lit(default)))
 
