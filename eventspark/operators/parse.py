@@ -25,19 +25,13 @@ def grok(source: str, patterns: str | Sequence[str], overwrite: Sequence[str] =
     compiled = [compile_pattern(p, dict(definitions or {})) for p in ([patterns] if isinstance(patterns, str) else patterns)]
 
     def run(df: DataFrame) -> DataFrame:
-        text = text_of(df, source)
-        # which pattern matched is computed once and kept as a column
-        which = F.lit(None).cast("int")
-        for k, (expression, _) in reversed(list(enumerate(compiled))):
-            which = F.when(text.rlike(expression), k).otherwise(which)
-        out = df.withColumns({"__src": text, "__hit": which})
+        out, hit = _captured(df, text_of(df, source), [(e, [g for _, _, g in captures]) for e, captures in compiled])
         values: dict[str, Column] = {}
         kinds: dict[str, str] = {}
-        for k, (expression, captures) in enumerate(compiled):
-            for name, kind, group in captures:
-                got = F.regexp_extract("__src", expression, group)
+        for k, (_, captures) in enumerate(compiled):
+            for place, (name, kind, _) in enumerate(captures):
+                got = F.col(f"__c{k}")[place]
                 got = got if keep_empty else F.nullif(got, F.lit(""))
-                got = F.when(F.col("__hit") == k, got)
                 values[name] = F.coalesce(values[name], got) if name in values else got
                 kinds[name] = kind if kinds.get(name, kind) == kind else "string"
         for name, value in values.items():
@@ -48,11 +42,34 @@ def grok(source: str, patterns: str | Sequence[str], overwrite: Sequence[str] =
                 value = value.try_cast(kind_of(df, name))
                 value = F.coalesce(value, old) if name in overwrite else F.coalesce(old, value)
             out = with_field(out, name, value)
-        return add_tags(out, tag, when=F.col("__hit").isNull()).drop("__src", "__hit")
+        return add_tags(out, tag, when=~hit).drop("__src", *(f"__{x}{k}" for k in range(len(compiled)) for x in "rc"))
 
     return run
 
 
+#: Marks between captures; a text that holds one is read group by group instead.
+_HIT, _NEXT = "\ue0f0", "\ue0f1"
+
+
+def _captured(df: DataFrame, text: Column, expressions: Sequence[tuple[str, Sequence[int]]]) -> tuple[DataFrame, Column]:
+    """Adds __c0, __c1, ...: arrays of the groups of each expression, null if it is not found or an earlier
+    one is; and whether any is found. A row is matched once: all groups come out of one replacement."""
+    out, found = df.withColumn("__src", text), F.lit(False)
+    odd = F.col("__src").contains(_HIT) | F.col("__src").contains(_NEXT)
+    for k, (expression, groups) in enumerate(expressions):
+        joined = _NEXT.join(f"${g}" for g in groups)
+        replaced = F.regexp_replace("__src", rf"\A(?s:.*?)(?:{expression})(?s:.*)\z", _HIT + joined)
+        # texts with a mark inside are only tested here
+        replaced = F.when(odd, F.when(F.col("__src").rlike(expression), _HIT)).otherwise(replaced)
+        out = out.withColumn(f"__r{k}", F.when(~found, replaced))
+        here = F.coalesce(F.col(f"__r{k}").startswith(_HIT), F.lit(False))
+        one_by_one = F.array(*(F.regexp_extract("__src", expression, g) for g in groups)) if groups else F.array().cast("array<string>")
+        parts = F.when(odd, one_by_one).otherwise(F.split(F.substring(f"__r{k}", 2, 1 << 30), _NEXT, -1))
+        out = out.withColumn(f"__c{k}", F.when(here, parts))
+        found = found | here
+    return out, found
+
+
 def dissect(source: str, mapping: str, convert: Mapping[str, str] | None = None, tag: str = "_dissectfailure") -> Operator:
     """Literal text between `%{field}`s; all of the literals must be found in order, else the row is tagged.
 
@@ -74,10 +91,9 @@ def dissect(source: str, mapping: str, convert: Mapping[str, str] | None = None,
     kinds = {"int": "long", "integer": "long", "float": "double", "string": "string"}
 
     def run(df: DataFrame) -> DataFrame:
-        text = text_of(df, source)
-        out = df.withColumns({"__src": text, "__hit": F.coalesce(text.rlike(expression), F.lit(False))})
-        for name, (group, right) in groups.items():
-            got = F.when(F.col("__hit"), F.regexp_extract("__src", expression, group))
+        out, hit = _captured(df, text_of(df, source), [(expression, [g for g, _ in groups.values()])])
+        for place, (name, (_, right)) in enumerate(groups.items()):
+            got = F.col("__c0")[place]
             if right:
                 got = F.rtrim(got)
             if convert and name in convert:
@@ -85,22 +101,23 @@ def dissect(source: str, mapping: str, convert: Mapping[str, str] | None = None,
             if has(df, name) and kind_of(df, name) == T.StringType():
                 got = F.coalesce(got, field(df, name))
             out = with_field(out, name, got)
-        return add_tags(out, tag, when=~F.col("__hit")).drop("__src", "__hit")
+        return add_tags(out, tag, when=~hit).drop("__src", "__r0", "__c0")
 
     return run
 
 
-def _pairs(text: Column, field_split: str, value_split: str, trim_key: str, trim_value: str) -> Column:
-    """A map of the pairs in text; later duplicates win (spark.sql.mapKeyDedupPolicy is not needed)."""
+def _unquoted(value: Column, trim: str) -> Column:
+    out = F.trim(value, F.lit(trim)) if trim else value
+    for q in ('"', "'"):
+        out = F.when((F.length(out) >= 2) & out.startswith(q) & out.endswith(q), F.substring(out, F.lit(2), F.length(out) - 2)).otherwise(out)
+    return out
 
-    def clean(value: Column, trim: str) -> Column:
-        out = F.trim(value, F.lit(trim)) if trim else value
-        for q in ('"', "'"):
-            out = F.when((F.length(out) >= 2) & out.startswith(q) & out.endswith(q), F.substring(out, F.lit(2), F.length(out) - 2)).otherwise(out)
-        return out
+
+def _pairs(text: Column, field_split: str, value_split: str, trim_key: str, trim_value: str) -> Column:
+    """The pairs in text, as an array of key and value."""
 
     pieces = F.filter(F.split(text, _quoted(field_split), -1), lambda p: F.instr(p, value_split) > 1)
-    pairs = F.transform(pieces, lambda p: F.struct(clean(F.substring_index(p, value_split, 1), trim_key).alias("key"), clean(F.substring(p, F.instr(p, value_split) + len(value_split), F.length(p)), trim_value).alias("value")))
+    pairs = F.transform(pieces, lambda p: F.struct((F.trim(F.substring_index(p, value_split, 1), F.lit(trim_key)) if trim_key else F.substring_index(p, value_split, 1)).alias("key"), _unquoted(F.substring(p, F.instr(p, value_split) + len(value_split), F.length(p)), trim_value).alias("value")))
     return pairs
 
 
@@ -115,14 +132,20 @@ def kv(source: str = "message", field_split: str = " ", value_split: str = "=",
                 pairs = F.filter(pairs, lambda p: ~p["key"].isin(list(exclude_keys)))
             last = F.transform(F.array_distinct(F.transform(pairs, lambda p: p["key"])), lambda k: F.struct(F.concat(F.lit(prefix), k), F.element_at(F.filter("__pairs", lambda p: p["key"] == k), -1)["value"]))
             return df.withColumn("__pairs", pairs).withColumn(target or default_target, F.map_from_entries(last)).drop("__pairs")
-        out = df.withColumn("__pairs", pairs)
+        if trim_key:
+            out = df.withColumn("__pairs", pairs)
+        else:  # with known keys the pieces need not be taken apart first
+            out = df.withColumn("__pairs", F.split(text_of(df, source), _quoted(field_split), -1))
+
         def of(key: str) -> Column:
-            return F.filter("__pairs", lambda p: p["key"] == key)
+            return F.filter("__pairs", lambda p: p["key"] == key if trim_key else p.startswith(key + value_split))
+
+        def value_of(last: Column, key: str) -> Column:
+            return last["value"] if trim_key else _unquoted(F.substring(last, F.lit(len(key + value_split) + 1), F.length(last)), trim_value)
 
         for key in include_keys:
             if key not in exclude_keys:
-                found = of(key)
-                value = F.when(F.size(found) > 0, F.element_at(found, -1)["value"])
+                value = value_of(F.try_element_at(of(key), F.lit(-1)), key)
                 name = prefix + key
                 if not target and has(df, name) and kind_of(df, name) == T.StringType():
                     value = F.coalesce(value, field(df, name))
