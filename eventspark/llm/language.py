@@ -121,8 +121,11 @@ def fit(rows: list[np.ndarray], labels: list[str], landmarks: int = 512, ridge:
 
 def sample(docs: DataFrame, learn: Column, per_language: int, text: str = "text", label: str = "lang", key: str = "doc_id", bits: int = BITS) -> tuple[list[np.ndarray], list[str]]:
     """Presence rows and labels of at most per_language texts of each language."""
-    rank = F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64(key), key))
-    chosen = docs.where(learn & F.col(label).isNotNull()).select(key, label).withColumn("__r", rank).where(F.col("__r") <= per_language).select(F.col(key).alias("__k"), F.col(label).alias("__l")).distinct()
+    # in two steps, so that no task sees all rows of a frequent language
+    labelled = docs.where(learn & F.col(label).isNotNull()).select(F.col(key).alias("__k"), F.col(label).alias("__l"), F.xxhash64(key).alias("__h")).withColumn("__s", F.pmod("__h", F.lit(64)))
+    for parts in (("__l", "__s"), ("__l",)):
+        labelled = labelled.withColumn("__r", F.row_number().over(Window.partitionBy(*parts).orderBy("__h", "__k"))).where(F.col("__r") <= per_language)
+    chosen = labelled.select("__k", "__l").distinct()
     picked = docs.select(key, text).join(F.broadcast(chosen), F.col(key) == F.col("__k")).select("__k", "__l", text)
 
     def run(batches):
