@@ -78,8 +78,8 @@ def mix(docs: DataFrame, budget_ratio: float = 1.0, entropy: float | None = 0.95
     order_block and order_key give the permutation: blocks by order_block, documents by order_key.
     """
     counted = written(
-        docs.select(F.col(key).alias("k"), F.coalesce(F.col(source).cast("string"), F.lit("\0")).alias("source"), F.xxhash64(F.lit(seed), key, text).alias("h"), word_count(F.col(text)).alias("n")).where("n > 0"), "tokens"
-    )
+        docs.select(F.col(key).alias("k"), F.coalesce(F.col(source).cast("string"), F.lit("\0")).alias("source"), F.xxhash64(F.lit(seed), key, text).alias("h"), word_count(F.col(text)).alias("n")), "tokens"
+    ).where("n > 0")
     tokens = written(counted.groupBy("source").agg(F.sum("n").alias("tokens")), "sources")
     everything = tokens.agg(F.sum("tokens")).first()[0]
     if not everything:
