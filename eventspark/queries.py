@@ -354,7 +354,7 @@ def _(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", "text").transform(rows.split("text"))
 
 
-@query("split_array", "SELECT vec_id, unnest(embedding) AS item FROM embeddings WHERE vec_id < 1000000000")
+@query("split_array", "SELECT vec_id, unnest(embedding) AS item FROM embeddings")
 def _(spark, sf_dir):
     return _t(spark, sf_dir, "embeddings").select("vec_id", "embedding").transform(rows.split("embedding", target="item")).select("vec_id", "item")
 
@@ -613,9 +613,9 @@ def _(spark, sf_dir):
 # ---------------------------------------------------------------------------------------------------
 # sources, sinks, pipelines, streams
 
-@query("source_generator", "SELECT 'hello' AS message, i AS sequence, CASE WHEN i % 8 < 8 THEN 'alert' END AS severity FROM (SELECT count(*) AS n FROM nation) t, LATERAL (SELECT unnest(range(t.n)) AS i)")
+@query("source_generator", "SELECT 'hello' AS message, i AS sequence, CASE WHEN i % 8 < 8 THEN 'alert' END AS severity FROM (SELECT count(*) AS n FROM events) t, LATERAL (SELECT unnest(range(t.n)) AS i)")
 def _(spark, sf_dir):
-    df = tables.generator(spark, _t(spark, sf_dir, "nation").count(), "<1>hello")
+    df = tables.generator(spark, _t(spark, sf_dir, "events").count(), "<1>hello")
     return tables.syslog_fields(df).select("message", "sequence", "severity")
 
 
@@ -682,3 +682,105 @@ def _(spark, sf_dir):
     query = tagged.writeStream.option("checkpointLocation", f"{out}-log").outputMode("append").trigger(availableNow=True).format("parquet").start(out)
     query.awaitTermination()
     return _joined(spark.read.parquet(out)).select("event_id", "tags")
+
+
+@query("source_lines", "SELECT line, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY line")
+def _(spark, sf_dir):
+    path = _scratch(spark)
+    _t(spark, sf_dir, "documents").select("text").write.text(path)
+    return tables.lines(spark, path, delimiter="\n").groupBy(F.col("message").alias("line")).agg(F.count("*").alias("n"))
+
+
+@query("source_syslog", "SELECT event_id, CAST(event_id % 192 // 8 AS BIGINT) AS facility_code, event_id % 8 AS severity_code, event_type AS message, 'syslog' AS type FROM events")
+def _(spark, sf_dir):
+    df = _t(spark, sf_dir, "events").select("event_id", F.expr("'<' || (event_id % 192) || '>' || event_type").alias("message"))
+    return tables.syslog_fields(df).select("event_id", "facility_code", "severity_code", "message", "type")
+
+
+@query("source_gelf", "SELECT event_id, 'said ' || event_type AS message, 'h' || user_id AS host, event_id AS custom FROM events")
+def _(spark, sf_dir):
+    doc = F.to_json(F.struct(F.lit("1.1").alias("version"), F.concat(F.lit("h"), "user_id").alias("host"), F.concat(F.lit("said "), "event_type").alias("short_message"), F.col("event_id").alias("_custom")))
+    df = _t(spark, sf_dir, "events").select("event_id", doc.alias("message"))
+    return tables.gelf_fields(df, "host string, short_message string, _custom long").select("event_id", "message", "host", "custom")
+
+
+@query("source_heartbeat", "SELECT 'ok' AS message, i AS sequence, 'heartbeat' AS type FROM (SELECT count(*) AS n FROM orders) t, LATERAL (SELECT unnest(range(t.n)) AS i)")
+def _(spark, sf_dir):
+    return tables.heartbeat(spark, _t(spark, sf_dir, "orders").count())
+
+
+@query("codec_text_forms", """SELECT r_regionkey, r_name || chr(10) AS plain, '.' AS dots, '{' || chr(10) || '  "message" => "' || r_name || '",' || chr(10) || '  "r_regionkey" => ' || r_regionkey || chr(10) || '}' || chr(10) AS debug FROM region""")
+def _(spark, sf_dir):
+    df = codecs.decode_plain(_t(spark, sf_dir, "region").select("r_regionkey", F.concat("r_name", F.lit("\n")).alias("raw")), "raw").drop("raw")
+    return df.select("r_regionkey", codecs.encode_plain(df).alias("plain"), codecs.encode_dots(df).alias("dots"), codecs.encode_rubydebug(df).alias("debug"))
+
+
+@query("codec_csv_records", "SELECT s_nationkey AS nation, CAST(s_suppkey AS VARCHAR) AS id, s_name AS name FROM supplier")
+def _(spark, sf_dir):
+    line = F.concat_ws(",", F.col("s_suppkey").cast("string"), "s_name")
+    df = _t(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("nation")).agg(F.array_join(F.collect_list(line), "\n").alias("message"))
+    return codecs.decode_csv(df, "message", ["id", "name"]).select("nation", "id", "name")
+
+
+@query("codec_fluent", "SELECT 'app.' || event_type AS fluent_tag, event_id AS fluent_time, user_id FROM events")
+def _(spark, sf_dir):
+    entry = F.to_json(F.struct(F.concat(F.lit("app."), "event_type").alias("t"), F.col("event_id").alias("i"), F.col("user_id").alias("u")))
+    as_array = F.regexp_replace(entry, r'^\{"t":(.*),"i":(\d+),"u":(\d+)\}$', r'[$1,$2,{"user_id":$3}]')
+    df = _t(spark, sf_dir, "events").select(binary_codecs.encode_msgpack(as_array).alias("data"))
+    return binary_codecs.decode_binary(df, "data", "fluent", "fluent_tag string, fluent_time long, user_id long").select("fluent_tag", "fluent_time", "user_id")
+
+
+@query("codec_protobuf", "SELECT o_orderkey % 128 AS field_1, o_orderstatus AS field_2 FROM orders")
+def _(spark, sf_dir):
+    status = F.hex(F.col("o_orderstatus").cast("binary"))
+    data = F.unhex(F.concat(F.lit("08"), F.lpad(F.hex(F.col("o_orderkey") % 128), 2, "0"), F.lit("1201"), status))
+    df = _t(spark, sf_dir, "orders").select(data.alias("data"))
+    return binary_codecs.decode_binary(df, "data", "protobuf", "field_1 long, field_2 string").select("field_1", "field_2")
+
+
+@query("codec_edn", "SELECT event_id AS id, event_type AS kind FROM events")
+def _(spark, sf_dir):
+    df = _t(spark, sf_dir, "events").select(F.expr("'{:id ' || event_id || ' :kind \"' || event_type || '\"}'").cast("binary").alias("data"))
+    return binary_codecs.decode_binary(df, "data", "edn", "id long, kind string").select("id", "kind")
+
+
+@query("lookup_cache", "SELECT event_id, CASE WHEN user_id % 2 = 0 THEN 'cached ' || user_id END AS found FROM events")
+def _(spark, sf_dir):
+    cache = lambda: lambda key: f"cached {key[1:]}" if int(key[1:]) % 2 == 0 else None  # noqa: E731  stands for a client
+    return _t(spark, sf_dir, "events").transform(lookups.memcached_get({"u%{user_id}": "found"}, cache)).select("event_id", "found")
+
+
+@query("sink_form_body", "SELECT 'n_nationkey=' || n_nationkey || '&n_name=' || replace(n_name, ' ', '+') AS body FROM nation")
+def _(spark, sf_dir):
+    df = _t(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    return df.select(writers.form_body(df).alias("body"))
+
+
+@query("sink_metric_data", "SELECT CAST(count(*) AS BIGINT) AS metrics, round(sum(value), 2) AS total FROM events")
+def _(spark, sf_dir):
+    calls = writers.metric_data(_t(spark, sf_dir, "events"), "m.%{event_type}", "value")
+    data = calls.select(F.explode(F.from_json("value", "MetricData array<struct<MetricName:string,Value:double>>")["MetricData"]).alias("d"))
+    return data.agg(F.count("*").alias("metrics"), F.round(F.sum("d.Value"), 2).alias("total"))
+
+
+@query("sink_routes", "SELECT event_id, 'all' AS sink FROM events UNION ALL SELECT event_id, 'errors' FROM events WHERE event_type = 'error'")
+def _(spark, sf_dir):
+    out = {name: _scratch(spark) for name in ("all", "errors")}
+    put = lambda name: lambda df: df.write.parquet(out[name])
+    writers.routed(_t(spark, sf_dir, "events").select("event_id", "event_type"), [(None, put("all")), ("event_type = 'error'", put("errors"))])
+    return pipeline.union(*(spark.read.parquet(path).select("event_id", F.lit(name).alias("sink")) for name, path in out.items()))
+
+
+@query(
+    "stream_aggregate",
+    """WITH e AS (SELECT *, event_type = 'purchase' AS ends FROM events),
+r AS (SELECT *, coalesce(sum(CAST(ends AS INT)) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run FROM e)
+SELECT max(event_id) AS event_id, CAST(user_id AS VARCHAR) AS task_id FROM r GROUP BY user_id, run HAVING bool_or(ends)""",
+)
+def _(spark, sf_dir):
+    path, out = _scratch(spark), _scratch(spark)
+    _t(spark, sf_dir, "events").select("event_id", "user_id", "event_type").write.parquet(path)
+    stream = spark.readStream.schema("event_id long, user_id long, event_type string").parquet(path)
+    maps = state.aggregate_stream(stream, "%{user_id}", ["event_id"], "event_type = 'purchase'", order="event_id", timeout=None)
+    maps.writeStream.option("checkpointLocation", f"{out}-log").outputMode("append").trigger(availableNow=True).format("parquet").start(out).awaitTermination()
+    return spark.read.parquet(out).select("event_id", "task_id")

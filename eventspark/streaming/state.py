@@ -138,9 +138,10 @@ def throttle_stream(df: DataFrame, key: str, before_count: int = -1, after_count
     return keyed.groupBy("__key").applyInPandasWithState(count, schema, "n long, opened double", "append", "NoTimeout" if max_age is None else "ProcessingTimeTimeout")
 
 
-def aggregate_stream(df: DataFrame, task: str, fields: Sequence[str], end: str, map_action: str = "update", timeout: float = 1800) -> DataFrame:
+def aggregate_stream(df: DataFrame, task: str, fields: Sequence[str], end: str, order: str | None = None, map_action: str = "update", timeout: float | None = 1800) -> DataFrame:
     """aggregate() for streams: emits each task's map (fields, tags, task_id) when a row has `end` true, or
-    after `timeout` seconds without rows."""
+    after `timeout` seconds without rows (None: never; a stream with timeouts does not run out of work).
+    Rows that arrive in one batch are taken in order of `order`."""
     out = T.StructType([*(df.schema[f] for f in fields), T.StructField("tags", T.ArrayType(T.StringType())), T.StructField("task_id", T.StringType())])
     held = T.StructType([T.StructField(f, df.schema[f].dataType) for f in fields])
 
@@ -151,7 +152,8 @@ def aggregate_stream(df: DataFrame, task: str, fields: Sequence[str], end: str,
             yield pd.DataFrame([{**values, "tags": ["_aggregatetimeout"], "task_id": key[0]}])
             return
         made = []
-        for pdf in batches:
+        whole = pd.concat(list(batches))
+        for pdf in [whole.sort_values(order) if order else whole]:
             for row in pdf.to_dict("records"):
                 new = {f: None if pd.isna(row[f]) else row[f] for f in fields}
                 if values is None:
@@ -165,12 +167,13 @@ def aggregate_stream(df: DataFrame, task: str, fields: Sequence[str], end: str,
             state.remove()
         else:
             state.update(tuple(values[f] for f in fields))
-            state.setTimeoutDuration(int(timeout * 1000))
+            if timeout is not None:
+                state.setTimeoutDuration(int(timeout * 1000))
         if made:
             yield pd.DataFrame(made)
 
     keyed = df.withColumns({"__task": template(df, task), "__end": F.coalesce(F.expr(end).cast("boolean"), F.lit(False))})
-    return keyed.groupBy("__task").applyInPandasWithState(collect, out, held, "append", "ProcessingTimeTimeout")
+    return keyed.groupBy("__task").applyInPandasWithState(collect, out, held, "append", "NoTimeout" if timeout is None else "ProcessingTimeTimeout")
 
 
 def meter(fields: Sequence[str], order: Sequence[str], by: Sequence[str] = ()) -> Operator:
