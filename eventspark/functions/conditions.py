@@ -68,7 +68,7 @@ def eq(path: str, wanted: str | int | float | bool) -> Condition:
             return F.lit(False)
         if isinstance(wanted, float) or isinstance(kind, (T.FloatType, T.DoubleType)) and not isinstance(wanted, bool):
             return _true_only(F.abs(value.cast("double") - F.lit(float(wanted))) < 2.220446049250313e-16)
-        return _true_only(value == F.lit(wanted))
+        return value.eqNullSafe(F.lit(wanted))  # reaches the scan, negated or not
 
     return test
 
@@ -85,7 +85,8 @@ def compare(path: str, sign: str, bound: int | float) -> Condition:
     def test(df: DataFrame) -> Column:
         if not isinstance(kind_of(df, path), _NUMBERS):
             return F.lit(False)
-        return _true_only(getattr(field(df, path), signs[sign])(F.lit(bound)))
+        value = field(df, path)
+        return value.isNotNull() & getattr(value, signs[sign])(F.lit(bound))
 
     return test
 

@@ -53,7 +53,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     specs = [
         {"use": "rename", "with": {"names": {"props": "message"}}},
         {"use": "json", "with": {"schema": "k bigint"}},
-        {"use": "drop", "if": "event_type = 'view'"},
+        {"use": "drop", "if": c.eq("event_type", "view")},
         {"use": "mutate", "with": {"uppercase": ["event_type"], "add_field": {"label": "%{event_type}-%{k}"}}},
         {"use": "mutate", "with": {"add_tag": ["high"]}, "if": "k >= 50"},
     ]
