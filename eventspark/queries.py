@@ -505,9 +505,9 @@ def _(spark, sf_dir):
 # ---------------------------------------------------------------------------------------------------
 # scripts and vectors
 
-@query("script_arithmetic", "SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 4) AS charge, CAST(l_orderkey // 7 + l_orderkey % 7 AS BIGINT) AS mixed, CASE WHEN l_quantity > 25 THEN 'big' ELSE 'small' END AS size FROM lineitem")
+@query("script_arithmetic", "SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) * (1 + l_tax) AS charge, CAST(l_orderkey // 7 + l_orderkey % 7 AS BIGINT) AS mixed, CASE WHEN l_quantity > 25 THEN 'big' ELSE 'small' END AS size FROM lineitem")
 def _(spark, sf_dir):
-    op = script.script({"charge": "round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 4)", "mixed": "l_orderkey div :n + l_orderkey % :n", "size": "if(l_quantity > 25, 'big', 'small')"}, {"n": 7})
+    op = script.script({"charge": "l_extendedprice * (1 - l_discount) * (1 + l_tax)", "mixed": "l_orderkey div :n + l_orderkey % :n", "size": "if(l_quantity > 25, 'big', 'small')"}, {"n": 7})
     return _t(spark, sf_dir, "lineitem").transform(op).select("l_orderkey", "l_linenumber", "charge", "mixed", "size")
 
 
@@ -756,11 +756,11 @@ def _(spark, sf_dir):
     return df.select(writers.form_body(df).alias("body"))
 
 
-@query("sink_metric_data", "SELECT CAST(count(*) AS BIGINT) AS metrics, round(sum(value), 2) AS total FROM events")
+@query("sink_metric_data", "SELECT CAST(count(*) AS BIGINT) AS metrics, max(value) AS largest FROM events")
 def _(spark, sf_dir):
     calls = writers.metric_data(_t(spark, sf_dir, "events"), "m.%{event_type}", "value")
     data = calls.select(F.explode(F.from_json("value", "MetricData array<struct<MetricName:string,Value:double>>")["MetricData"]).alias("d"))
-    return data.agg(F.count("*").alias("metrics"), F.round(F.sum("d.Value"), 2).alias("total"))
+    return data.agg(F.count("*").alias("metrics"), F.max("d.Value").alias("largest"))
 
 
 @query("sink_routes", "SELECT event_id, 'all' AS sink FROM events UNION ALL SELECT event_id, 'errors' FROM events WHERE event_type = 'error'")
