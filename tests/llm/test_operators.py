@@ -428,3 +428,20 @@ def test_pipeline_stages_on_edges(spark, sf_dir, edge_texts):
     assert docs.count() >= 1
     out = corpus_pipeline.run(spark, sf_dir)
     assert 0 < out.count() <= 200 and out.select("doc_id").distinct().count() == out.count()
+
+
+def test_candidates_of_looser_form_are_added(spark):
+    rng = random.Random(6)
+
+    def card(sep, valid):
+        while True:
+            d = "".join(rng.choice("0123456789") for _ in range(16))
+            if luhn(d) == valid:
+                return sep.join(d[k : k + 4] for k in (0, 4, 8, 12))
+
+    texts = [f"paid by {card(' ', True)} today" for _ in range(120)] + [f"order {card(' ', False)} shipped" for _ in range(120)]
+    texts += [f"paid by {card('.', True)} today" for _ in range(5)] + [f"order {card('.', False)} shipped" for _ in range(5)]
+    out = pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert all(len(r.card) == 1 and not r.added for r in out[:120])
+    assert all([(x.kind, texts[r.doc_id][x.s : x.e].count(".")) for x in r.added] == [("card", 3)] for r in out[240:245])
+    assert not any(r.added for r in out[120:240]) and not any(r.added for r in out[245:])
