@@ -119,13 +119,13 @@ def grouped(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: i
     return prints.join(named, "fp").select(key, "fp", "th", "root", "component_id")
 
 
-def deduplicated(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+def deduplicated(docs: DataFrame, key: str = "doc_id", groups=grouped) -> DataFrame:
     """docs with one row of each group of near copies, the columns of docs.
 
-    The row with the smallest key stays; of several texts under that key the one with the smallest hash,
+    groups finds the groups: grouped(), or that of shingles. The row with the smallest key stays; of several texts under that key the one with the smallest hash,
     and of rows that repeat both, one.
     """
-    found = written(grouped(docs, key=key), "groups")
+    found = written(groups(docs, key=key), "groups")
     smallest = found.where(F.col(key).eqNullSafe(F.col("component_id")))
     stay = smallest.groupBy("root").agg(F.min("th").alias("th"), F.first("component_id").alias("k")).select(F.col("k").alias("__k"), F.col("th").alias("__first"))
     hashed = docs.withColumn("__th", F.xxhash64("text"))

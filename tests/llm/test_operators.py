@@ -15,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from eventspark.llm import chat, decontaminate, katz, language, mixing, pii, quality, simhash, templates, urls
+from eventspark.llm import chat, decontaminate, katz, language, mixing, pii, quality, shingles, simhash, templates, urls
 
 from ..oracle import same
 
@@ -445,3 +445,41 @@ def test_candidates_of_looser_form_are_added(spark):
     assert all(len(r.card) == 1 and not r.added for r in out[:120])
     assert all([(x.kind, texts[r.doc_id][x.s : x.e].count(".")) for x in r.added] == [("card", 3)] for r in out[240:245])
     assert not any(r.added for r in out[120:240]) and not any(r.added for r in out[245:])
+
+
+def brute_similar(texts):
+    """Pairs with a Jaccard similarity of five-word shingles of 0.8 or more."""
+    sets = []
+    for t in texts:
+        w = re.findall(BREAKS, lower(t))
+        sets.append({tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set())
+    return [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+
+
+def test_near_copies_of_the_pipeline(spark, sf_dir, edge_texts, monkeypatch):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    texts = [*edge_texts, "one Two three four", "one two three\tfour five", "one two three four five"]
+    for size in (12, 60, 300, 1500):
+        for _ in range(3):
+            texts.append(" ".join(f"w{rng.randrange(400)}" for _ in range(size)))
+            for _ in range(6):  # chains of copies with some words changed
+                w = texts[-1 - rng.randrange(2)].split(" ")
+                for _ in range(rng.randrange(1 + size // 40)):
+                    w[rng.randrange(len(w))] = f"w{rng.randrange(400)}"
+                texts.append(" ".join(w) + " ") if rng.random() < 0.2 else texts.append(" ".join(w))
+    texts += [f"the same common notice of seven words stands in text {k} of " + " ".join(f"n{rng.randrange(10**6)}" for _ in range(9)) for k in range(30)]
+    wanted, pairs = list(range(len(texts))), brute_similar(texts)
+    for _ in texts:  # the smallest reachable
+        for i, j in pairs:
+            wanted[i] = wanted[j] = min(wanted[i], wanted[j])
+    docs = documents(spark, texts)
+    for often in (64, 5):
+        monkeypatch.setattr(shingles, "FREQUENT", often)
+        out = shingles.grouped(docs).orderBy("doc_id").collect()
+        assert [r.component_id for r in out] == wanted
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, sf_dir).collect()) == sorted(set(wanted))
+    # most of these pairs are further apart than two bits of SimHash
+    assert len(set(wanted)) < len({r.component_id for r in simhash.grouped(docs).collect()})
+    assert shingles.grouped(docs.limit(0)).count() == 0
