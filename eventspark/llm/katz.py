@@ -3,9 +3,10 @@
 Counts are discounted by Good-Turing (up to K occurrences), words that training has not seen share the
 freed mass of the unigrams, and each context's backoff weight is what its discounted bigrams leave over,
 divided by the unigram mass of all other words, so that the probabilities after every context add up to
-one exactly. Bigrams seen once are counted, as Good-Turing needs, but leave their mass to the backoff.
+one exactly. Bigrams seen less than `least` times are counted, as Good-Turing needs, but leave their mass
+to the backoff; op8 takes all of them (least = 1).
 
-    P(w | v) = d(c(v w)) * c(v w) / (c(v) + 1/2)      if c(v w) >= 2
+    P(w | v) = d(c(v w)) * c(v w) / (c(v) + 1/2)      if c(v w) >= least
              = alpha(v) * P(w)                        otherwise
     P(w)     = d(c(w)) * c(w) / N, or the unseen mass if c(w) = 0
 
@@ -13,8 +14,9 @@ How it runs: words are 64-bit hashes. Each task packs the bigrams of some millio
 blocks, one for each bucket of contexts, with equal bigrams of a document pre-aggregated; a bucket holds
 all of the bigrams of its contexts and a bounded number of tokens, as the number of buckets grows with
 the corpus. Contexts too frequent for one bucket are spread over all of them by the next word. One pass
-over the blocks counts bigrams, which are joined with the unigram table to learn P(w); a second pass
-brings blocks and tables together by bucket, where the log probability of a document is
+over the blocks counts bigrams and names each bucket's next words, which are joined with the unigram table
+to learn P(w); only the frequent contexts' bigrams leave their bucket, for the contexts' weights. A second
+pass counts again, where blocks and words are together by bucket, and the log probability of a document is
 
     sum over words of log P(w) + sum over contexts of log alpha(v)
     + sum over its bigrams with an entry of (log P(w | v) - log alpha(v) - log P(w))
@@ -241,8 +243,8 @@ def _added(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[at], order[at], np.add.reduceat(values[order], at)
 
 
-def _count_pairs(blocks: pa.Table) -> pa.Table:
-    """v, w, n of the bigrams seen twice or more; rows without w tell how many were seen v times."""
+def _pairs(blocks: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """v, w, n of the bucket's training bigrams."""
     parts = []
     for _, _, train, v, w, di, cn in _events(blocks):
         on = train[di] > 0
@@ -250,20 +252,28 @@ def _count_pairs(blocks: pa.Table) -> pa.Table:
             v, w = v[on], w[on]
             _, at, n = _added(pair_hash(v, w), cn[on].astype(np.int64))
             parts.append((v[at], w[at], n))
-    bucket = blocks.column("bucket")[0].as_py()
     v, w, n = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
     if len(v):
         _, at, n = _added(pair_hash(v, w), n)
         v, w = v[at], w[at]
+    return v, w, n
+
+
+def _count_pairs(blocks: pa.Table, hot: np.ndarray, least: int) -> pa.Table:
+    """The next words w of bigrams seen least times or more, without v; v, w, n of those of frequent contexts;
+    rows without w tell how many bigrams were seen v times."""
+    v, w, n = _pairs(blocks)
+    bucket = blocks.column("bucket")[0].as_py()
     seen = np.bincount(np.minimum(n, K + 2), minlength=K + 3)[1 : K + 2]
-    keep = n >= 2
-    size = int(keep.sum())
+    v, w, n = (x[n >= least] for x in (v, w, n))
+    own, is_hot = np.unique(w), np.isin(v, hot)
+    size = len(own) + int(is_hot.sum())
     return pa.table(
         {
             "bucket": pa.array([bucket] * (size + K + 1), pa.int32()),
-            "v": pa.concat_arrays([_signed(v[keep]), pa.array(range(1, K + 2), pa.int64())]),
-            "w": pa.concat_arrays([_signed(w[keep]), pa.nulls(K + 1, pa.int64())]),
-            "n": pa.concat_arrays([pa.array(n[keep], pa.int64()), pa.array(seen, pa.int64())]),
+            "v": pa.concat_arrays([pa.nulls(len(own), pa.int64()), _signed(v[is_hot]), pa.array(range(1, K + 2), pa.int64())]),
+            "w": pa.concat_arrays([_signed(own), _signed(w[is_hot]), pa.nulls(K + 1, pa.int64())]),
+            "n": pa.concat_arrays([pa.nulls(len(own), pa.int64()), pa.array(n[is_hot], pa.int64()), pa.array(seen, pa.int64())]),
         }
     )
 
@@ -274,8 +284,8 @@ def _count_pairs(blocks: pa.Table) -> pa.Table:
 class Katz:
     """What every task needs to know: both discounts, and the frequent contexts' counts and weights."""
 
-    def __init__(self, unigrams: Unigrams, pair_factors: list[float], types: int) -> None:
-        self.unigrams, self.pair_factors, self.types = unigrams, np.array([*pair_factors, 1.0]), types
+    def __init__(self, unigrams: Unigrams, pair_factors: list[float], types: int, least: int) -> None:
+        self.unigrams, self.pair_factors, self.types, self.least = unigrams, np.array([*pair_factors, 1.0]), types, least
         self.hot = np.zeros(0, np.uint64)
         self.hot_counts = np.zeros(0, np.int64)
         self.hot_alpha = np.ones(0)
@@ -313,8 +323,12 @@ def _score_bucket(model: Katz, blocks: pa.Table, side: pa.Table) -> pa.Table:
         c = np.where(own, counts[at] if len(counts) else 0, 0)
         return (np.where(hot, model.hot_counts[hot_at], c) if len(model.hot) else c), hot, hot_at
 
-    pv, pw, pn, pwn = (side.filter(pc.invert(alone)).column(c).to_numpy() for c in ("v", "w", "n", "wn"))
-    pv, pw = pv.view(np.uint64), pw.view(np.uint64)
+    pv, pw, pn = _pairs(blocks)
+    pv, pw, pn = (x[pn >= model.least] for x in (pv, pw, pn))
+    nexts, pwn = (side.filter(pc.invert(alone)).column(c).to_numpy() for c in ("w", "wn"))
+    order = np.argsort(nexts.view(np.uint64))
+    nexts, pwn = nexts.view(np.uint64)[order], pwn[order]
+    pwn = pwn[_find(nexts, pw)[0]] if len(pw) else np.zeros(0, np.int64)
     pc_, hot, hot_at = context(pv)
     prob, back = model.pair_prob(pn, pc_), model.unigrams.prob(pwn)
     names, place = np.unique(pv, return_inverse=True)
@@ -362,7 +376,7 @@ def _add_chunk(parts: pa.Table) -> pa.Table:
     return pa.table({"key": pa.array(keys), "known": pa.array(sums[0].astype(np.int64)), "base": pa.array(sums[1]), "score": pa.array(sums[2])})
 
 
-def train_and_score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def train_and_score(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = 2) -> DataFrame:
     """key, held_out, n_tokens, n_known, train_tokens, base_score, score and perplexity of every row."""
     spark = docs.sparkSession
     keyed = _keyed(docs, key, text)
@@ -381,19 +395,18 @@ def train_and_score(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     hot = np.sort(np.array(list(frequent), np.int64).view(np.uint64))
 
     blocks = _blocks(keyed, buckets, hot)
-    counted = blocks.groupBy("bucket").applyInArrow(_count_pairs, "bucket int, v long, w long, n long")
+    counted = blocks.groupBy("bucket").applyInArrow(lambda b: _count_pairs(b, hot, least), "bucket int, v long, w long, n long")
     pairs = written(counted.join(words.select(F.col("h").alias("w"), F.col("n").alias("wn")), "w", "left"), "bigrams")
     pair_seen = {r["v"]: r["n"] for r in pairs.where("w IS NULL").groupBy("v").agg(F.sum("n").alias("n")).collect()}  # K + 1 rows
-    pairs = pairs.where("w IS NOT NULL")
-    model = Katz(unigrams, discounts([pair_seen.get(r, 0) for r in range(1, K + 2)]), types)
-    model.pair_factors[1] = 0.0
+    nexts, pairs = pairs.where("v IS NULL"), pairs.where("v IS NOT NULL AND w IS NOT NULL")
+    model = Katz(unigrams, discounts([pair_seen.get(r, 0) for r in range(1, K + 2)]), types, least)
     model.hot = hot
     model.hot_counts = np.array([frequent[int(h)] for h in hot.view(np.int64)], np.int64)
-    model.hot_alpha = _frequent_alpha(spark, pairs, model)
+    model.hot_alpha = _frequent_alpha(pairs, model)
 
     handle = spark.sparkContext.broadcast(model)
     plain = words.where(~F.col("h").isin([int(x) for x in hot.view(np.int64)])) if len(hot) < 1000 else words
-    side = pairs.select("bucket", "v", "w", "n", "wn").unionByName(
+    side = nexts.select("bucket", "v", "w", "n", "wn").unionByName(
         plain.select(_bucket("h", buckets).alias("bucket"), F.col("h").alias("v"), F.lit(None).cast("long").alias("w"), "n", F.lit(None).cast("long").alias("wn"))
     )
     parts = blocks.groupBy("bucket").cogroup(side.groupBy("bucket")).applyInArrow(lambda b, s: _score_bucket(handle.value, b, s), "chunk long, keys binary, ds binary, known binary, base binary, score binary")
@@ -421,17 +434,15 @@ def _bucket(column: str, buckets: int):
     return F.pmod(F.col(column) + F.when(F.col(column) < 0, F.lit((1 << 64) % buckets)).otherwise(F.lit(0)), F.lit(buckets)).cast("int")
 
 
-def _frequent_alpha(spark: SparkSession, pairs: DataFrame, model: Katz) -> np.ndarray:
+def _frequent_alpha(pairs: DataFrame, model: Katz) -> np.ndarray:
     """The backoff weights of the frequent contexts, whose bigrams lie in several buckets."""
-    known = spark.createDataFrame([(int(h), int(c)) for h, c in zip(model.hot.view(np.int64), model.hot_counts, strict=True)], "v long, c long")
     factors, words = model.pair_factors.tolist(), model.unigrams
-    array = F.array(*map(F.lit, factors))
-    p = F.element_at(array, F.least("n", F.lit(K + 1)).cast("int") + 1) * F.col("n") / (F.col("c") + 0.5)
+    taken = F.element_at(F.array(*map(F.lit, factors)), F.least("n", F.lit(K + 1)).cast("int") + 1) * F.col("n")
     q = F.element_at(F.array(*map(F.lit, words.factors.tolist())), F.least("wn", F.lit(K + 1)).cast("int") + 1) * F.col("wn") * F.lit(words.scale / max(words.total, 1))
-    found = {r["v"]: (r["p"], r["q"]) for r in pairs.join(F.broadcast(known), "v").groupBy("v").agg(F.sum(p).alias("p"), F.sum(q).alias("q")).collect()}
+    found = {r["v"]: (r["p"], r["q"]) for r in pairs.groupBy("v").agg(F.sum(taken).alias("p"), F.sum(q).alias("q")).collect()}
     sums = np.array([found.get(int(h), (0.0, 0.0)) for h in model.hot.view(np.int64)]).reshape(-1, 2)
-    return Katz.alpha(sums[:, 0], sums[:, 1])
+    return Katz.alpha(sums[:, 0] / (model.hot_counts + 0.5), sums[:, 1])
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return train_and_score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return train_and_score(table(spark, sf_dir, "documents").select("doc_id", "text"), least=1)

@@ -483,3 +483,34 @@ def test_near_copies_of_the_pipeline(spark, sf_dir, edge_texts, monkeypatch):
     # most of these pairs are further apart than two bits of SimHash
     assert len(set(wanted)) < len({r.component_id for r in simhash.grouped(docs).collect()})
     assert shingles.grouped(docs.limit(0)).count() == 0
+
+
+def test_katz_discounts_bigrams_seen_once(spark, tmp_path):
+    rng = random.Random(14)
+    texts = [" ".join(rng.choice("the of a b c d".split() + [f"w{rng.randrange(200)}"]) for _ in range(rng.randrange(60))) for _ in range(150)] + [None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = katz.op8(spark, str(tmp_path)).collect()
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
+    said = [["\n", *(t or "").split(), "\n\n"] for t in texts]
+    uni, pairs, context = Counter(), Counter(), Counter()
+    for i, s in enumerate(said):
+        if not held(i):
+            uni.update(s[1:])
+            pairs.update(zip(s, s[1:], strict=False))
+            context.update(s[:-1])
+    often = lambda c: [sum(x == r for x in c.values()) for r in range(1, katz.K + 2)]
+    model, factors = katz.Unigrams(often(uni), sum(uni.values())), katz.discounts(often(pairs))
+    p1 = lambda w: float(model.prob(np.array([uni.get(w, 0)]))[0])
+    share = lambda v, w: (factors[pairs[v, w]] if pairs[v, w] <= katz.K else 1.0) * pairs[v, w] / (context[v] + 0.5)
+    taken, covered = Counter(), Counter()
+    for v, w in pairs:
+        taken[v] += share(v, w)
+        covered[v] += p1(w)
+    alpha = lambda v: (1 - taken[v]) / (1 - covered[v])
+    prob = lambda v, w: share(v, w) if (v, w) in pairs else alpha(v) * p1(w)
+    for v in ("the", "\n", "w1", "never"):
+        assert sum(prob(v, w) for w in uni) + alpha(v) * model.unseen == pytest.approx(1)
+    assert factors[1] > 0 and len(got) == len(texts)
+    for r in got:
+        s = said[r.doc_id]
+        assert r.score == pytest.approx(sum(math.log10(prob(v, w)) for v, w in zip(s, s[1:], strict=False)))
