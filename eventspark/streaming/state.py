@@ -7,6 +7,8 @@ by the caller, as rows of a table have none.
 
 from __future__ import annotations
 
+import pickle
+import tempfile
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -107,9 +109,55 @@ def throttle(key: str, order: Sequence[str], time: str = "@timestamp", before_co
     return run
 
 
+def _in_order(batches: Iterator[pd.DataFrame], by: str, rows: int = 1000, fan_in: int = 32) -> Iterator[pd.DataFrame]:
+    """The rows of all batches ordered by a column, in frames of bounded size: an external merge sort.
+
+    Each batch is a sorted run in a temporary file; of at most fan_in runs at a time a slice is in memory.
+    """
+    with tempfile.TemporaryFile() as file:
+
+        def store(frames: Iterator[pd.DataFrame]) -> list[int]:
+            places = []
+            for pdf in frames:
+                for k in range(0, len(pdf), rows):
+                    places.append(file.seek(0, 2))
+                    pickle.dump(pdf.iloc[k : k + rows], file)
+            return places
+
+        def load(place: int) -> pd.DataFrame:
+            file.seek(place)
+            return pickle.load(file)
+
+        def merged(runs: list[list[int]]) -> Iterator[pd.DataFrame]:
+            runs = [list(reversed(r)) for r in runs]
+            heads = [load(r.pop()) for r in runs]
+            while heads:
+                # what unread slices hold is not smaller than the last row of their run's head
+                bounds = [h[by].iloc[-1] for h, r in zip(heads, runs, strict=True) if r]
+                bound = min(bounds) if bounds else None
+                cuts = [len(h) if bound is None else int(h[by].searchsorted(bound, side="right")) for h in heads]
+                ready = [h.iloc[:c] for h, c in zip(heads, cuts, strict=True) if c]
+                yield pd.concat(ready).sort_values(by, kind="stable", ignore_index=True)
+                heads = [h.iloc[c:] for h, c in zip(heads, cuts, strict=True)]
+                left = [(h if len(h) else load(r.pop()), r) for h, r in zip(heads, runs, strict=True) if len(h) or r]
+                heads, runs = [h for h, _ in left], [r for _, r in left]
+
+        runs = []
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            runs.append(store([pdf.sort_values(by, kind="stable")]))
+            if len(runs) == fan_in * fan_in:
+                runs = [store(merged(runs[k : k + fan_in])) for k in range(0, len(runs), fan_in)]
+        while len(runs) > fan_in:
+            runs = [store(merged(runs[k : k + fan_in])) for k in range(0, len(runs), fan_in)]
+        yield from merged(runs)
+
+
 def throttle_stream(df: DataFrame, key: str, before_count: int = -1, after_count: int = -1, period: float = 3600, max_age: float | None = 86400, time: str = "@timestamp", tag: str = "_throttle") -> DataFrame:
     """throttle() for streams: one counter and its start per key, dropped max_age seconds after its last use
-    (None: kept; a stream with timeouts never runs out of work, so AvailableNow needs None)."""
+    (None: kept; a stream with timeouts never runs out of work, so AvailableNow needs None). A key's rows of one
+    micro-batch are counted in the order of time."""
     schema = T.StructType([*(f for f in df.schema.fields if f.name != "tags"), T.StructField("tags", T.ArrayType(T.StringType()))])
 
     def count(_, batches, state):
@@ -117,8 +165,7 @@ def throttle_stream(df: DataFrame, key: str, before_count: int = -1, after_count
             state.remove()
             return
         n, opened = state.get if state.exists else (0, None)
-        for pdf in batches:
-            pdf = pdf.sort_values(time)
+        for pdf in _in_order(batches, time):
             marks = []
             for t in pdf[time]:
                 t = t.timestamp()

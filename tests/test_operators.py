@@ -4,6 +4,7 @@ import json
 import re
 import struct
 
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -170,6 +171,30 @@ def test_throttle_windows_reopen(spark):
     assert [bool(r.tags) for r in out] == [False, True, True, False, True, False]
 
 
+def test_throttle_stream_orders_whole_keys(spark, tmp_path):
+    rows = [(i, "ab"[i % 2]) for i in range(60)][::-1]
+    df = spark.createDataFrame(rows, "id long, k string").withColumn("ts", F.timestamp_seconds("id"))
+    df.repartition(5).write.parquet(str(tmp_path / "in"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+        tagged = state.throttle_stream(stream, "%{k}", after_count=3, period=10**9, max_age=None, time="ts")
+        writer = tagged.writeStream.option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).format("parquet")
+        writer.start(str(tmp_path / "out")).awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    out = spark.read.parquet(str(tmp_path / "out")).orderBy("id").collect()
+    assert [r.id for r in out] == list(range(60)) and [bool(r.tags) for r in out] == [i >= 6 for i in range(60)]
+
+
+def test_external_sort_in_rounds():
+    values = [(i * 7919) % 1009 for i in range(1000)]
+    frames = [pd.DataFrame({"t": values[k : k + 3], "n": range(k, min(k + 3, 1000))}) for k in range(0, 1000, 3)]
+    out = pd.concat(state._in_order(iter(frames), "t", rows=2, fan_in=4))
+    assert out["t"].tolist() == sorted(values) and sorted(out["n"]) == list(range(1000))
+    assert list(state._in_order(iter([]), "t")) == []
+
+
 def test_multiline_both_ways(spark):
     df = lines(spark, "a", " b", "c", "d\\", "e")
     back = df.transform(state.multiline(r"^\s", ["id"])).orderBy("id")
