@@ -5,8 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,12 +25,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is set (tests)."""
+    """The folder that driver and executors share; one of this machine only where Spark runs on it alone (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         context = spark.sparkContext
         found = context.getCheckpointDir()
         if not found:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="eventspark-"))
             found = context.getCheckpointDir()
     return found.rstrip("/")
@@ -52,6 +57,62 @@ def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Removes tables made by written() that nothing reads any more."""
+    for df in tables:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+        folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+        for folder in folders:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+
+
+class Tokens(NamedTuple):
+    """The words `[^\\x20\\x09-\\x0D]+` of some texts, one after the other."""
+
+    data: np.ndarray  #: the texts' bytes, each behind a line feed
+    rows: np.ndarray  #: where each text's words begin, and the end of the last
+    start: np.ndarray  #: places in data
+    end: np.ndarray
+    hash: np.ndarray
+    text: np.ndarray  #: where each text begins in data
+
+
+_SOLID = bytes(0 if b in WORD_BREAKS.encode() else 1 for b in range(256))
+_LOW = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A well-mixed one-to-one function of 64-bit values."""
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+def tokenized(texts: list[bytes | None], lower: bool = False) -> Tokens:
+    """Words and their hashes, all texts at a time; A-Z lower-cased first if asked for."""
+    whole = b"\n" + b"\n".join([t or b"" for t in texts]) + b"\n" + b"\0" * 8
+    if lower:
+        whole = whole.translate(_LOW)
+    begin = np.cumsum([1, *(len(t or b"") + 1 for t in texts)])
+    solid = np.frombuffer(whole.translate(_SOLID), np.uint8)[:-8]
+    edges = np.flatnonzero(solid[1:] != solid[:-1]) + 1
+    start, end = edges[::2], edges[1::2]
+    eights = np.ndarray((len(whole) - 7,), np.uint64, whole, strides=(1,))
+    size = end - start
+    h = mixed((eights[start] & _MASKS[np.minimum(size, 8)]) ^ (size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+    rest = np.flatnonzero(size > 8)
+    for k in range(8, 64, 8):
+        if not len(rest):
+            break
+        h[rest] = mixed(h[rest] * np.uint64(3) + (eights[start[rest] + k] & _MASKS[np.minimum(size[rest] - k, 8)]))
+        rest = rest[size[rest] > k + 8]
+    for i in rest.tolist():
+        h[i] = xxhash.xxh64_intdigest(whole[start[i] : end[i]])
+    return Tokens(np.frombuffer(whole, np.uint8), np.searchsorted(start, begin), start, end, h, begin[:-1])
+
+
 def words(text: bytes | None) -> list[bytes]:
     """Words `[^\\x20\\x09-\\x0D]+` of UTF-8 text; null has none."""
     return text.split() if text else []
@@ -91,6 +152,19 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
             yield batch.slice(k, rows)
 
 
+def portions(texts: list[bytes | None], limit: int = 2_000_000) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of some million bytes together; a longer text has a range of its own."""
+    first = size = 0
+    for k, t in enumerate(texts):
+        more = len(t or b"")
+        if k > first and size + more > limit:
+            yield first, k
+            first, size = k, 0
+        size += more
+    if len(texts) > first:
+        yield first, len(texts)
+
+
 def column_bytes(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
     """A string column as UTF-8 bytes, without decoding."""
     return batch.column(name).cast(pa.binary()).to_pylist()
