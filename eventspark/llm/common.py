@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from typing import NamedTuple
+from typing import Any, NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,6 +69,46 @@ def dropped(*tables: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+SIEVE_WORDS = 1 << 19
+
+
+def sieve(keys: DataFrame, column: str) -> DataFrame:
+    """A bit for each hash that a key (a long) can have, in at most SIEVE_WORDS rows of 64 bits: small enough to broadcast
+    whatever the number of keys. The more keys, the more other values pass; a join behind it decides."""
+    place = F.pmod(F.shiftright(column, 20), F.lit(64)).cast("int")
+    bits = keys.select(F.pmod(column, F.lit(SIEVE_WORDS)).alias("__w"), F.call_function("shiftleft", F.lit(1).cast("long"), place).alias("__b"))
+    return written(bits.groupBy("__w").agg(F.bit_or("__b").alias("__b")), "sieve")
+
+
+def sieved(df: DataFrame, column: str, by: DataFrame) -> DataFrame:
+    """df with __maybe: false for rows whose key is surely none of those in the sieve."""
+    out = df.join(F.broadcast(by), F.pmod(column, F.lit(SIEVE_WORDS)) == by["__w"], "left")
+    place = F.pmod(F.shiftright(column, 20), F.lit(64)).cast("int")
+    return out.select(*df.columns, (F.coalesce(F.call_function("shiftrightunsigned", "__b", place).bitwiseAND(F.lit(1)), F.lit(0)) == 1).alias("__maybe"))
+
+
+def semi_sieved(df: DataFrame, column: str, by: DataFrame) -> DataFrame:
+    """The rows of df that pass the sieve."""
+    return sieved(df, column, by).where("__maybe").drop("__maybe")
+
+
+class Carried:
+    """A broadcast object of this package that workers can read where the package is not installed.
+
+    Spark pickles what it broadcasts by reference to its class; here it travels as bytes that hold the class
+    as well, and becomes an object once per worker process.
+    """
+
+    def __init__(self, spark: SparkSession, made: Any) -> None:
+        self.handle = spark.sparkContext.broadcast(cloudpickle.dumps(made))
+
+    @property
+    def value(self) -> Any:
+        if not hasattr(self.handle, "made"):
+            self.handle.made = pickle.loads(self.handle.value)
+        return self.handle.made
+
+
 class Tokens(NamedTuple):
     """The words `[^\\x20\\x09-\\x0D]+` of some texts, one after the other."""
 

@@ -7,8 +7,10 @@ matched. The words under occurring windows are hit, and a document is contaminat
 a share of its words.
 
 The automaton is broadcast, so its size is checked: items are dealt into shards of at most
-`shard_words` words, and the documents are streamed past one automaton after another, results being
-added up per document. The number of shards grows with the benchmark, the broadcast does not.
+`shard_words` words (some 800 bytes each in the automaton), and the documents are streamed past one automaton
+after another, of which the driver holds one at a time. What further shards find is written, by the hash of
+the text, and added to what the first finds. The number of shards grows with the benchmark, the broadcast
+does not.
 
 Edge cases: null and empty texts have no words and no hits; items without words are ignored; repeated
 item ids count once; repeated documents are judged alike, one row each; empty tables give empty (or
@@ -17,16 +19,18 @@ hit-free) results. Columns other than the named ones are left alone.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import alnum_words, column_bytes, sliced, table, written
+from .common import Carried, alnum_words, column_bytes, sliced, table, written
 
 WINDOW = 13
+SHARD_WORDS = 200_000
+SPANS = "array<struct<s:int,e:int>>"
 NAMES = ("n_words", "spans", "items")
 
 
@@ -169,14 +173,15 @@ def benchmark_shards(benchmark: DataFrame, shard_words: int) -> Iterator[list[tu
         yield shard
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = 2_000_000, key: list[str] | None = None, names: tuple[str, str, str] = NAMES) -> DataFrame:
+def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS, key: list[str] | None = None, names: tuple[str, str, str] = NAMES) -> DataFrame:
     """key columns, n_words, spans (array of word ranges) and items (array of item ids) of each document, under the given names."""
     spark = docs.sparkSession
     key = ["doc_id"] if key is None else key
-    out_schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in key] + [f"{names[0]} long, {names[1]} array<struct<s:int,e:int>>, {names[2]} array<string>"])
     spans_type, items_type = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())])), pa.list_(pa.string())
 
-    def scanned(handle) -> DataFrame:
+    def scanned(docs: DataFrame, kept: list[str], automaton: SuffixAutomaton) -> DataFrame:
+        handle = Carried(spark, automaton)
+
         def run(batches):
             automaton: SuffixAutomaton = handle.value
             for batch in sliced(batches):
@@ -187,29 +192,33 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard
                     counts.append(len(sequence))
                     spans.append([{"s": s, "e": e} for s, e in _merged(found)])
                     items.append(sorted(automaton.names[k] for k in which))
-                yield pa.RecordBatch.from_arrays([batch.column(c) for c in key] + [pa.array(counts, pa.int64()), pa.array(spans, spans_type), pa.array(items, items_type)], names=[*key, *names])
-
-        return docs.select(*dict.fromkeys([*key, "text"])).mapInArrow(run, out_schema)
-
-    shards = [scanned(spark.sparkContext.broadcast(SuffixAutomaton(x, window))) for x in benchmark_shards(benchmark, shard_words)]
-    if not shards:
-        shards = [scanned(spark.sparkContext.broadcast(SuffixAutomaton([], window)))]
-    return shards[0] if len(shards) == 1 else _added(shards, key, names)
-
-
-def _added(shards: list[DataFrame], key: list[str], names: tuple[str, str, str]) -> DataFrame:
-    """Adds up what several automata found; repeated keys with equal texts keep one row each."""
-    every = shards[0].withColumn("__shard", F.lit(0))
-    for k, more in enumerate(shards[1:], 1):
-        every = every.unionByName(more.withColumn("__shard", F.lit(k)))
-    merge = F.udf(lambda found: [(s, e) for s, e in _merged([(x["s"], x["e"]) for x in found])], "array<struct<s:int,e:int>>")
-    return (
-        every.groupBy(*key, names[0])
-        .agg(F.count(F.when(F.col("__shard") == 0, 1)).alias("__copies"), F.flatten(F.collect_set(names[1])).alias(names[1]), F.array_sort(F.array_distinct(F.flatten(F.collect_set(names[2])))).alias(names[2]))
-        .withColumn(names[1], merge(names[1]))
-        .withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
-        .select(*key, *names)
-    )
+                yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [pa.array(counts, pa.int64()), pa.array(spans, spans_type), pa.array(items, items_type)], names=[*kept, *names])
+
+        schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept] + [f"{names[0]} long, {names[1]} {SPANS}, {names[2]} array<string>"])
+        return docs.select(*dict.fromkeys([*kept, "text"])).mapInArrow(run, schema)
+
+    shards = benchmark_shards(benchmark, shard_words)
+    first = scanned(docs, key, SuffixAutomaton(next(shards, []), window))
+    hashed, more = docs.select(F.xxhash64("text").alias("__th"), "text"), []
+    for items in shards:
+        hits = scanned(hashed, ["__th"], SuffixAutomaton(items, window)).where(F.size(names[1]) > 0)
+        more.append(written(hits.select("__th", names[1], names[2]).dropDuplicates(["__th"]), "hits"))
+    if not more:
+        return first
+    added = reduce(DataFrame.unionByName, more).groupBy("__th").agg(F.flatten(F.collect_list(names[1])).alias("__spans_"), F.flatten(F.collect_list(names[2])).alias("__items_"))
+    first = scanned(docs.withColumn("__th", F.xxhash64("text")), [*key, "__th"], SuffixAutomaton(next(benchmark_shards(benchmark, shard_words)), window))
+    every = first.join(added, "__th", "left")
+    none = F.array().cast(SPANS)
+    spans = F.array_sort(F.concat(names[1], F.coalesce("__spans_", none)))
+    items = F.array_sort(F.array_distinct(F.concat(names[2], F.coalesce("__items_", F.array().cast("array<string>")))))
+
+    def add(acc, x):
+        last = F.element_at(acc, -1)
+        meets = F.when(F.size(acc) > 0, last["e"] >= x["s"]).otherwise(False)
+        joined = F.struct(last["s"].alias("s"), F.greatest(last["e"], x["e"]).alias("e"))
+        return F.when(meets, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(joined))).otherwise(F.concat(acc, F.array(x))).cast(SPANS)
+
+    return every.select(*key, names[0], F.aggregate(spans, none, add).alias(names[1]), items.alias(names[2]))
 
 
 def judged(hits: DataFrame, coverage: int = 20, names: tuple[str, str, str] = NAMES, n_hit: str = "n_hit", contaminated: str = "contaminated") -> DataFrame:

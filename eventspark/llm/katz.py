@@ -43,7 +43,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column_bytes, held_out, lower_words, sliced, table, word_count, written
+from .common import Carried, column_bytes, held_out, lower_words, sliced, table, word_count, written
 
 K = 5  # counts up to here are discounted
 CHUNK_TOKENS = 1_200_000
@@ -404,7 +404,7 @@ def train_and_score(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     model.hot_counts = np.array([frequent[int(h)] for h in hot.view(np.int64)], np.int64)
     model.hot_alpha = _frequent_alpha(pairs, model)
 
-    handle = spark.sparkContext.broadcast(model)
+    handle = Carried(spark, model)
     plain = words.where(~F.col("h").isin([int(x) for x in hot.view(np.int64)])) if len(hot) < 1000 else words
     side = nexts.select("bucket", "v", "w", "n", "wn").unionByName(
         plain.select(_bucket("h", buckets).alias("bucket"), F.col("h").alias("v"), F.lit(None).cast("long").alias("w"), "n", F.lit(None).cast("long").alias("wn"))
