@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column_bytes, lower_words, sliced, table, written
+from .common import column_bytes, dropped, lower_words, sliced, table, written
 
 SEED = 42
 
@@ -92,7 +92,9 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         after = written(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
-        if _same(now, after):
+        same = _same(now, after)
+        dropped(now)
+        if same:
             return after.select(F.col("a").alias("node"), F.col("b").alias("root"))
         now = after
 

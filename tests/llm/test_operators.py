@@ -232,6 +232,21 @@ def test_suffix_automaton(items, doc, window):
     assert {automaton.names[k] for k in which} == found
 
 
+def test_shards_of_the_benchmark_add_up(spark):
+    rng = random.Random(12)
+    words = lambda n: " ".join(rng.choice("abc") for _ in range(n))
+    bench = [(str(k), words(rng.randrange(1, 20))) for k in range(25)]
+    texts = [words(rng.randrange(120)) for _ in range(60)]
+    rows = [(k // 2, t) for k, t in enumerate(texts)] + [(0, texts[0])] * 3 + [(None, texts[1])]  # ids that repeat, with one text and with several
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("spans", F.lit("clash"))
+    found = [decontaminate.find_hits(docs, spark.createDataFrame(bench, "item_id string, text string"), window=4, shard_words=n, key=["doc_id", "text"]).collect() for n in (10**6, 40)]
+    a, b = (sorted(map(str, x)) for x in found)
+    assert a == b and len(a) == len(rows)
+    for r in found[1]:
+        hit, items = brute_hits(r.text.split(), [(n, t.split()) for n, t in bench], 4)
+        assert {i for x in r.spans for i in range(x.s, x.e)} == hit and set(r["items"]) == items
+
+
 def test_decontamination_on_edges(spark, edge_texts):
     docs = documents(spark, edge_texts)
     bench = spark.createDataFrame([(1, edge_texts[5]), (1, edge_texts[5]), (2, None), (3, ""), (4, "x")], "item_id long, text string")
@@ -390,6 +405,21 @@ def test_language_on_edges(spark, edge_texts):
     assert language.predict(docs.limit(0), model, ["doc_id"]).count() == 0
 
 
+def test_language_stage_rejects_what_fits_no_language(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    odd = ["Привет, как дела? Это совсем другой язык, которого никто не знает.", "日本語のテキストはここでは誰にも読まれませんし、学習もされていません。" * 2, "zxqv kwjz qqxz vvkj wqxz jjkw zzqv xkcd qwvx zkjq " * 3, None, "12345", "x"]
+    more = spark.createDataFrame([(-k, t, None, "s", 0) for k, t in enumerate(odd, 1)], SCHEMA)
+    kept = {r.doc_id for r in language.identified(docs.select(*more.columns).unionAll(more)).select("doc_id").collect()}
+    assert {-k for k in range(1, 6)}.isdisjoint(kept) and -6 in kept
+    assert len([k for k in kept if k >= 0]) >= 0.98 * docs.count()
+
+
+def test_language_sample_is_bounded_where_an_id_repeats(spark):
+    rows = [(1, f"text number {k} in words", "en" if k % 2 else None) for k in range(50)] + [(k, "autre texte", "fr") for k in range(9)]
+    made, labels = language.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True), 7)
+    assert Counter(labels) == {"en": 7, "fr": 7}
+
+
 # 10
 
 def brute_units(text, least):
@@ -584,3 +614,28 @@ def test_katz_discounts_bigrams_seen_once(spark, tmp_path):
     for r in got:
         s = said[r.doc_id]
         assert r.score == pytest.approx(sum(math.log10(prob(v, w)) for v, w in zip(s, s[1:], strict=False)))
+
+
+def test_operators_run_where_workers_cannot_import_the_package(tmp_path):
+    """In a process in another folder, whose workers find no eventspark."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    code = f"""
+import sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local-cluster[1,1,1024]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", {str(tmp_path)!r}).config("spark.sql.shuffle.partitions", "2").getOrCreate()
+from eventspark.llm import decontaminate, katz, language
+rows = [(k, "the cat and the dog " * 8 + "and more" * (k % 3), "en") for k in range(12)]
+rows += [(k, "le chat et le chien " * 8, "fr") for k in range(12, 20)]
+spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1).write.parquet({str(tmp_path)!r} + "/documents.parquet")
+spark.createDataFrame([("a", "the cat and the dog the cat and the dog the cat and the dog")], "item_id string, text string").write.parquet({str(tmp_path)!r} + "/benchmark.parquet")
+for op in (decontaminate.op5, katz.op8, language.op9):
+    assert op(spark, {str(tmp_path)!r}).count() == 20
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    run = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True)
+    assert run.returncode == 0, run.stderr[-3000:]
