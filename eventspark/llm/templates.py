@@ -17,7 +17,8 @@ with boilerplate: it is left whole, to near-duplicate detection.
 Counting is one pass over the texts. Of each template only the texts with the smallest hashes are carried on, as
 many as it needs to be boilerplate: a union of templates is in that many texts if and only if the union of
 these few is, and has the same smallest one. So no row count depends on how frequent a line is. Texts meet
-what they lose in a join; nothing is broadcast by this module.
+what they lose in a join. Before such joins, rows that surely find no partner are sieved out, by bits in a table of
+bounded size; that is all that is broadcast.
 
 Edge cases: null texts stay null; blank lines stay; a line of which nothing is left goes; repeated rows are
 treated alike; an empty table gives an empty result; columns of any name pass through.
@@ -29,8 +30,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import Tokens, column_bytes, dropped, mixed, portions, sliced, table, tokenized, written
+from .common import Tokens, column_bytes, dropped, mixed, portions, semi_sieved, sieve, sieved, sliced, table, tokenized, written
 
 DEPTH = 3
 MIN_TOKENS = 12
@@ -164,9 +166,11 @@ def recurring(units: DataFrame, min_docs: int = MIN_DOCS, evidence: int = EVIDEN
     # units of a leaf that share a half are the only ones that can differ in a single token
     long = exact.where(F.col("n") > DEPTH + 1)
     half = long.select("tpl", F.explode(F.array(F.struct(F.col("half1").alias("half"), F.lit(1).alias("k")), F.struct(F.col("half2").alias("half"), F.lit(2).alias("k")))).alias("x")).select("tpl", "x.*")
-    shared = half.groupBy("half").agg(F.min("tpl").alias("lo"), F.max("tpl").alias("hi")).where("lo <> hi").select("half")
-    close = half.join(shared, "half").groupBy("tpl").agg(F.max((F.col("k") == 1).cast("int")).alias("s1"), F.max((F.col("k") == 2).cast("int")).alias("s2"))
-    close = written(close, "close")
+    shared = written(half.groupBy("half").agg(F.min("tpl").alias("lo"), F.max("tpl").alias("hi")).where("lo <> hi").select("half"), "halves")
+    live = sieve(shared, "half")
+    close = semi_sieved(half, "half", live).join(shared, "half").groupBy("tpl").agg(F.max((F.col("k") == 1).cast("int")).alias("s1"), F.max((F.col("k") == 2).cast("int")).alias("s2"))
+    # one text's tokens stand for the template
+    close = written(close.join(exact.select("tpl", F.element_at("ths", 1).alias("th")), "tpl"), "close")
 
     def forms(batches):
         for batch in sliced(batches, 4096):
@@ -176,10 +180,9 @@ def recurring(units: DataFrame, min_docs: int = MIN_DOCS, evidence: int = EVIDEN
             unit, form = Units(tokens, starts).forms(batch.column("s1").to_numpy() > 0, batch.column("s2").to_numpy() > 0)
             yield pa.RecordBatch.from_arrays([batch.column("tpl").take(pa.array(unit)), _long(form)], names=["tpl", "form"])
 
-    # one text's tokens stand for the template
-    holder = exact.select("tpl", F.element_at("ths", 1).alias("th"))
-    offered = units.select("tpl", "th", "tokens").join(close, "tpl").join(holder, ["tpl", "th"]).dropDuplicates(["tpl"])
-    offered = written(offered.select("tpl", "s1", "s2", "tokens").mapInArrow(forms, "tpl long, form long").distinct(), "forms")
+    near = sieve(close, "tpl")
+    tokens = semi_sieved(units.select("tpl", "th", "tokens"), "tpl", near).join(close, ["tpl", "th"]).dropDuplicates(["tpl"])
+    offered = written(tokens.select("tpl", "s1", "s2", "tokens").mapInArrow(forms, "tpl long, form long").distinct(), "forms")
     several = offered.groupBy("form").agg(F.min("tpl").alias("lo"), F.max("tpl").alias("hi")).where("lo <> hi").select("form")
     members = written(offered.join(several, "form").select("form", "tpl"), "members")
     texts = members.join(exact.select("tpl", "n", "ths"), "tpl").select("form", "n", F.explode("ths").alias("th"))
@@ -187,7 +190,7 @@ def recurring(units: DataFrame, min_docs: int = MIN_DOCS, evidence: int = EVIDEN
     wide = members.join(met.where(F.col("texts") >= need).select("form", "first"), "form").select("tpl", "first")
     own = exact.where(F.size("ths") >= need).select("tpl", F.element_at("ths", 1).alias("first"))
     found = written(own.unionByName(wide).groupBy("tpl").agg(F.min("first").alias("first")), "recurring")
-    dropped(exact, close, offered, members)
+    dropped(exact, shared, live, close, near, offered, members)
     return found
 
 
@@ -230,12 +233,17 @@ def deduplicated(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS,
     """docs without boilerplate; the columns of docs."""
     units = written(units_of(docs, text, min_tokens), "units")
     found = recurring(units, min_docs, evidence)
-    gone = units.select("tpl", "th").join(found, "tpl").where("th <> first").groupBy("th").agg(F.collect_set("tpl").alias("gone"))
-    gone = written(gone.select(F.col("th").alias("__th"), F.col("gone").alias("__gone")), "gone")
-    dropped(units, found)
-    # the row travels as one column, so that its names do not meet the operator's
-    rows = docs.select(F.struct(*docs.columns).alias("__row"), F.col(text).alias("__text")).withColumn("__th", F.xxhash64("__text"))
-    kept = rows.join(gone, "__th", "left")
+    bad = sieve(found, "tpl")
+    gone = semi_sieved(units.select("tpl", "th"), "tpl", bad).join(found, "tpl").where("th <> first").groupBy("th").agg(F.collect_set("tpl").alias("gone"))
+    gone = written(gone.select(F.col("th").alias("__gone_th"), F.col("gone").alias("__gone")), "gone")
+    hit = sieve(gone, "__gone_th")
+    dropped(units, found, bad)
+    # other columns travel as one, so that their names do not meet the operator's
+    others = [c for c in docs.columns if c != text]
+    rows = docs.select(F.struct(*others).alias("__row") if others else F.lit(0).alias("__row"), F.col(text).alias("__text"), F.xxhash64(text).alias("__th"))
+    # only texts that lose something travel to what they lose
+    rows = sieved(rows, "__th", hit)
+    kept = rows.where("__maybe").join(gone, F.col("__th") == F.col("__gone_th"), "left")
 
     def run(batches):
         for batch in sliced(batches):
@@ -244,9 +252,9 @@ def deduplicated(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS,
                 texts[k] = cleaned([texts[k]], [np.array(lists[k], np.int64).view(np.uint64)], min_tokens, copy_share)[0]
             yield pa.RecordBatch.from_arrays([batch.column("__row"), pa.array(texts, pa.binary()).cast(pa.string())], names=["__row", "__text"])
 
-    row = rows.schema["__row"].dataType.simpleString()
-    new = kept.select("__row", "__text", "__gone").mapInArrow(run, f"__row {row}, __text string")
-    return new.select(*((F.col("__text") if c == text else F.col("__row")[c]).alias(c) for c in docs.columns))
+    new = kept.select("__row", "__text", "__gone").mapInArrow(run, T.StructType([rows.schema["__row"], rows.schema["__text"]]))
+    every = rows.where("NOT __maybe").select("__row", "__text").unionByName(new)
+    return every.select(*((F.col("__text") if c == text else F.col("__row")[c]).alias(c) for c in docs.columns))
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
