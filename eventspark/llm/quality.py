@@ -1,9 +1,11 @@
 """Quality rules by weak supervision.
 
-Rules vote good (+1), bad (-1) or abstain (0) on every document. Expectation-maximisation over the
-counts of all vote patterns estimates the shares of good documents and of one kind of junk per rule, and
-how often each rule's votes are right on each of them (abstentions say nothing); a document is kept if its posterior probability of being good reaches a threshold. There are at most
-3 ** len(RULES) vote patterns whatever the input's size, so only these counts reach the driver.
+Rules vote good (+1), bad (-1) or abstain (0) on every document. Expectation-maximisation over the counts of all
+vote patterns estimates the share of good documents and, for both classes, how often each rule that votes
+objects (abstentions say nothing); a document is kept if its posterior probability of being good reaches a
+threshold. No rule has a veto: an objection weighs what it is worth by the rule's estimated accuracy, and several
+rules look at each kind of junk, so that they can bear each other out. The priors are worth a few documents.
+There are at most 3 ** len(RULES) vote patterns whatever the input's size, so only these counts reach the driver.
 
 Edge cases: null and empty texts have no words and fail the base rule; a text whose rules all abstain
 gets the prior; repeated rows are judged alike, one result each; an empty table gives an empty result.
@@ -11,7 +13,7 @@ gets the prior; repeated rows are judged alike, one result each; an empty table
 
 from __future__ import annotations
 
-import math
+import re
 from collections import Counter
 
 import numpy as np
@@ -24,7 +26,11 @@ from .common import column_bytes, sliced, table, words, written
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
 
-FIELDS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct", "n_upper", "n_letters", "n_ended"]
+FIELDS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct", "n_upper", "n_letters", "n_ended", "n_plain", "n_bare", "n_marks", "n_any_letters"]
+#: Words of letters with one mark behind them at most, words without letter and digit, and runs of marks.
+_PLAIN = re.compile(rb"(?<!\S)[A-Za-z\x80-\xff]+[.,;:!?]?(?!\S)")
+_BARE = re.compile(rb"(?<!\S)[^A-Za-z0-9\s\x80-\xff]+(?!\S)")
+_MARKS = re.compile(rb"[!?]{2,}|[#*$%&|<>]{2,}")
 
 
 def repeated_words(items: list[bytes], window: int = WINDOW) -> int:
@@ -76,6 +82,10 @@ def measures(text: bytes | None) -> tuple[int, ...]:
         upper,
         upper + lower,
         sum(x.rstrip()[-1:] in b".!?" for x in lines),
+        len(_PLAIN.findall(text)),
+        len(_BARE.findall(text)),
+        len(_MARKS.findall(text)),
+        upper + lower + int(np.count_nonzero(plain >= 0xC0)),
     )
 
 
@@ -105,30 +115,34 @@ RULES: dict[str, tuple[str, str]] = {
     "variety": ("10 * n_distinct >= 4 * n_words AND n_words >= 20", "10 * n_distinct < 2 * n_words"),
     "capitals": ("10 * n_upper <= n_letters AND n_letters > 0", "10 * n_upper > 4 * n_letters"),
     "sentence_ends": ("10 * n_ended >= 6 * n_lines AND n_lines > 0", "10 * n_ended < 2 * n_lines"),
+    "plain_words": ("10 * n_plain >= 8 * n_words AND n_words > 0", "10 * n_plain < 7 * n_words"),
+    "separators": ("100 * n_bare <= n_words AND n_words > 0", "20 * n_bare > n_words"),
+    "mark_runs": ("n_marks = 0", "20 * n_marks > n_words"),
+    "letters": ("100 * n_any_letters >= 85 * word_chars AND word_chars > 0", "100 * n_any_letters < 75 * word_chars"),
 }
+#: Beta priors of an objection, (objects, does not), to a good and to a bad document.
+PRIORS = ((0.1, 5.0), (2.0, 2.0))
 
 
-def fit(patterns: list[tuple[list[int], int]], rounds: int = 200) -> tuple[np.ndarray, np.ndarray]:
-    """Shares of the classes (0: good, k + 1: the junk that rule k is for) and objects[class, rule], the
-    probability that a rule which votes votes bad, from vote patterns and their counts."""
-    k = len(RULES)
-    own = np.vstack((np.zeros(k), np.eye(k))) > 0
-    # beta priors worth 50 documents: rules rarely object to good documents, and mostly to their own kind of junk
-    mean = np.where(own, 0.95, 0.1)
-    mean[0] = 0.01
+def fit(patterns: list[tuple[list[int], int]], rounds: int = 500) -> tuple[np.ndarray, np.ndarray]:
+    """Shares of the classes (0: good, 1: bad) and objects[class, rule], the probability that a rule which votes
+    votes bad, from vote patterns and their counts. It starts from the guess that objections are right."""
+    k = len(patterns[0][0]) if patterns else len(RULES)
     votes = np.array([v for v, _ in patterns]).reshape(-1, k)
     counts = np.array([c for _, c in patterns], float)
     bad, good = (votes < 0).astype(float), (votes > 0).astype(float)
-    n_bad = bad.sum(1, keepdims=True)
-    part = np.hstack((np.where(n_bad > 0, 0.1, 1.0), 0.9 * bad / np.maximum(n_bad, 1)))  # the start
+    first = np.where(bad.sum(1) > 0, 0.05, 0.95)
+    part = np.stack((first, 1 - first), 1)
+    yes, every = np.array([[p] for p, _ in PRIORS]), np.array([[p + q] for p, q in PRIORS])
     for _ in range(rounds):
         weight = (part * counts[:, None]).T
-        share = (weight.sum(1) + 1) / (counts.sum() + k + 1)
-        objects = (weight @ bad + 50 * mean) / (weight @ (bad + good) + 50)
-        objects[0] = np.minimum(objects[0], 0.01)  # rules are made to be right when they object
+        share = (weight.sum(1) + 1) / (counts.sum() + 2)
+        objects = (weight @ bad + yes) / (weight @ (bad + good) + every)
         logs = np.log(share) + bad @ np.log(objects).T + good @ np.log1p(-objects).T
-        part = np.exp(logs - logs.max(1, keepdims=True))
+        before, part = part, np.exp(logs - logs.max(1, keepdims=True))
         part /= part.sum(1, keepdims=True)
+        if np.abs(part - before).max(initial=0) < 1e-9:
+            break
     return share, objects
 
 
