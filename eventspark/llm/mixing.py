@@ -3,27 +3,34 @@
 Sources are weighted by their token shares to the power of an exponent between 0 (all alike) and 1 (as
 they are). The exponent is bisected to the largest weight entropy asked for that still respects a limit
 on how often a source may be repeated. The weights then become budgets of tokens, and each budget is
-realised as permutations of the source's blocks: whole epochs first, then the first blocks of one more
-permutation, the last of them cut within the block.
+realised as block permutations: in every epoch the source's blocks come in another order, and so do the documents
+of a block. Whole epochs come first, then the first blocks of one more permutation, the last of them cut
+within the block. A document has a row for each time that it is used.
 
 Everything per source is an aggregate in Spark: bisection tries 65 exponents in one aggregation,
-six halvings a job, so the list of sources is never collected. Blocks bound what is sorted together: a
-source of any size is ordered by its blocks' hashes, and documents by hash inside one block only.
+six halvings a job, so the list of sources is never collected. Where the last epoch ends is found in
+steps: which of a source's RANGES ranges of block hashes, which block in the range, which document in the block.
+So no task sorts more than a part of a source. What is known then is a few numbers a source, by which each
+document tells on its own how often it is used and where; texts are not shuffled.
 
 Edge cases: null texts have no tokens and stay out of the mix, like any document without words; a null
-source is a source of its own; repeated rows are documents of their own (equal ones tie and count one
-after the other); an empty table gives an empty result; a single source takes the whole budget.
+source is a source of its own; repeated rows are documents of their own, and equal ones are used alike; an
+empty table gives an empty result; a single source takes the whole budget.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, word_count, written
+from .common import dropped, table, word_count, written
 
 BLOCK_TOKENS = 200_000
+RANGES = 4096  # the upper 12 bits of a hash
+BUDGET_RATIO = 2.0  # tokens of the mix for each token of the input
 SEED = 17
+#: What mix() adds to a document.
+USES = ["n_tokens", "weight", "epoch", "order_block", "order_key"]
 
 
 def exponent(shares: DataFrame, entropy: float | None = None, max_repeats: float | None = None, budget_ratio: float = 1.0, rounds: int = 5) -> float:
@@ -72,47 +79,81 @@ def weights(tokens: DataFrame, alpha: float) -> DataFrame:
     return powered.crossJoin(F.broadcast(total)).select("source", "tokens", (F.col("w") / F.col("z")).alias("weight"))
 
 
-def mix(docs: DataFrame, budget_ratio: float = 1.0, entropy: float | None = 0.95, max_repeats: float | None = 4.0, block_tokens: int = BLOCK_TOKENS, key: str = "doc_id", source: str = "source", text: str = "text", seed: int = SEED) -> DataFrame:
-    """key, source, n_tokens, copies, weight: how often each document is used; documents that are not used have no row.
+def _source(source: str) -> Column:
+    """The source as text that tells null from all others."""
+    return F.when(F.col(source).isNull(), "").otherwise(F.concat(F.lit("="), F.col(source).cast("string")))
 
-    order_block and order_key give the permutation: blocks by order_block, documents by order_key.
-    """
-    counted = written(
-        docs.select(F.col(key).alias("k"), F.coalesce(F.col(source).cast("string"), F.lit("\0")).alias("source"), F.xxhash64(F.lit(seed), key, text).alias("h"), word_count(F.col(text)).alias("n")), "tokens"
-    ).where("n > 0")
-    tokens = written(counted.groupBy("source").agg(F.sum("n").alias("tokens")), "sources")
+
+def _block_order(block: Column, epoch: Column, seed: int) -> Column:
+    return F.xxhash64(F.lit(seed + 1), "__s", block, epoch)
+
+
+def _key_order(epoch: Column, seed: int) -> Column:
+    return F.xxhash64(F.lit(seed + 2), "__h", epoch)
+
+
+def plan(counted: DataFrame, budget_ratio: float, entropy: float | None, max_repeats: float | None, block_tokens: int, seed: int) -> DataFrame | None:
+    """__s, weight, blocks, epochs, and where one more epoch ends: before or in the block of order cut, up to the
+    key there. counted: __s, __h and n of each document. None if there are no tokens."""
+    tokens = written(counted.groupBy("__s").agg(F.sum("n").alias("tokens")), "sources")
     everything = tokens.agg(F.sum("tokens")).first()[0]
     if not everything:
-        return counted.select(F.col("k").alias(key), "source", F.col("n").alias("n_tokens"), F.lit(0).cast("long").alias("copies"), F.lit(0.0).alias("weight"), F.lit(0).cast("long").alias("order_block"), F.col("h").alias("order_key"))
+        return None
     alpha = exponent(tokens.select((F.col("tokens") / F.lit(everything)).alias("share")), entropy, max_repeats, budget_ratio)
-    plan = weights(tokens, alpha).withColumns(
+    budgets = weights(tokens.withColumnRenamed("__s", "source"), alpha).withColumnRenamed("source", "__s").withColumns(
         {"budget": F.round(F.col("weight") * F.lit(everything * budget_ratio)).cast("long"), "blocks": F.ceil(F.col("tokens") / block_tokens).cast("long")}
     )
-    plan = plan.withColumns({"epochs": F.expr("budget div tokens"), "rest": F.expr("budget % tokens")}).select("source", "weight", "blocks", "epochs", "rest")
-    plan = written(plan, "plan")
-    dealt = counted.join(plan, "source").withColumn("block", F.pmod("h", "blocks"))
-    sizes = dealt.groupBy("source", "block", "rest").agg(F.sum("n").alias("size"))
-    # blocks in the order of a hash; a running sum says which of them the last, partial epoch reaches
-    order = F.xxhash64(F.lit(seed + 1), "source", "block")
-    before = F.sum("size").over(Window.partitionBy("source").orderBy("order_block", "block").rowsBetween(Window.unboundedPreceding, -1))
-    reached = sizes.withColumn("order_block", order).withColumn("before", F.coalesce(before, F.lit(0))).withColumn("left", F.col("rest") - F.col("before"))
-    reached = written(reached.select("source", "block", "order_block", "left", "size"), "blocks")
-    placed = written(dealt.join(reached, ["source", "block"]), "placed")
-    cut = placed.where("left > 0 AND left < size")  # one block a source
-    inside = F.sum("n").over(Window.partitionBy("source", "block").orderBy("h", "k", "n").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    extra = (
-        placed.where("left >= size").withColumn("extra", F.lit(1))
-        .unionByName(placed.where("left <= 0").withColumn("extra", F.lit(0)))
-        .unionByName(cut.withColumn("extra", (inside <= F.col("left")).cast("int")))
-    )
-    used = extra.withColumn("copies", F.col("epochs") + F.col("extra")).where("copies > 0")
-    return used.select(F.col("k").alias(key), F.expr("nullif(source, '\\0')").alias("source"), F.col("n").alias("n_tokens"), "copies", "weight", "order_block", F.col("h").alias("order_key"))
+    budgets = budgets.withColumns({"epochs": F.expr("budget div tokens"), "rest": F.expr("budget % tokens")})
+    budgets = written(budgets.select("__s", "weight", "blocks", "epochs", "rest"), "budgets")
+    dealt = counted.join(budgets.select("__s", "blocks", "epochs", "rest"), "__s").withColumn("block", F.pmod("__h", "blocks"))
+    sizes = dealt.groupBy("__s", "block", "epochs", "rest").agg(F.sum("n").alias("size"))
+    sizes = sizes.withColumn("order", _block_order(F.col("block"), F.col("epochs"), seed)).withColumn("range", F.shiftright("order", 52))
+    sizes = written(sizes, "blocks")
+    # a range of orders, then a block in the range, in which the rest runs out
+    ranges = sizes.groupBy("__s", "range").agg(F.sum("size").alias("range_size"))
+    ahead = F.coalesce(F.sum("range_size").over(Window.partitionBy("__s").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = ranges.withColumn("ahead", ahead)
+    inside = sizes.join(ranges, ["__s", "range"]).where("ahead <= rest AND rest < ahead + range_size")
+    before = F.coalesce(F.sum("size").over(Window.partitionBy("__s").orderBy("order", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cut = inside.withColumn("left", F.col("rest") - F.col("ahead") - before).where("left >= 0 AND left < size")
+    cut = written(cut.select("__s", "block", F.col("order").alias("cut"), "left"), "cuts")  # one block a source
+    # equal documents share a key, and are within the rest together or not at all
+    members = dealt.join(cut, ["__s", "block"]).withColumn("key", _key_order(F.col("epochs"), seed))
+    upto = F.sum("n").over(Window.partitionBy("__s").orderBy("key").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    keys = members.withColumn("upto", upto).where(F.col("upto") <= F.col("left")).groupBy("__s").agg(F.max("key").alias("key"))
+    made = budgets.join(cut.select("__s", "cut"), "__s", "left").join(keys, "__s", "left").select("__s", "weight", "blocks", "epochs", "cut", "key")
+    made = written(made, "plan")
+    dropped(tokens, budgets, sizes, cut)
+    return made
+
+
+def mix(docs: DataFrame, budget_ratio: float = BUDGET_RATIO, entropy: float | None = 0.95, max_repeats: float | None = 4.0, block_tokens: int = BLOCK_TOKENS, key: str = "doc_id", source: str = "source", text: str = "text", seed: int = SEED) -> DataFrame:
+    """docs with a row for each use, and n_tokens, weight (of the source), epoch, order_block and order_key: reading
+    by epoch, source, order_block and order_key is reading in the order of the permutations. Columns of docs that
+    bear these names give way to them.
+    """
+    named = docs.drop(*USES).withColumns({"__s": _source(source), "__h": F.xxhash64(F.lit(seed), key, text)})
+    n = word_count(F.col(text))
+    counted = written(named.select("__s", "__h", n.alias("n")).where("n > 0"), "tokens")
+    made = plan(counted, budget_ratio, entropy, max_repeats, block_tokens, seed)
+    dropped(counted)
+    if made is None:
+        none = {"n_tokens": "long", "weight": "double", "epoch": "long", "order_block": "long", "order_key": "long"}
+        return docs.drop(*USES).limit(0).withColumns({c: F.lit(None).cast(t) for c, t in none.items()})
+    used = named.withColumn("n_tokens", n).where("n_tokens > 0").join(made.withColumnsRenamed({c: f"__{c}" for c in ("blocks", "epochs", "cut", "key")}), "__s")
+    block, epochs = F.pmod("__h", "__blocks"), F.col("__epochs")
+    order = _block_order(block, epochs, seed)
+    partly = (order < F.col("__cut")) | (order == F.col("__cut")) & (_key_order(epochs, seed) <= F.col("__key"))
+    used = used.withColumn("__uses", epochs + F.coalesce(partly, F.lit(False)).cast("long")).where("__uses > 0")
+    used = used.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__uses") - 1)))
+    used = used.withColumns({"order_block": _block_order(block, F.col("epoch"), seed), "order_key": _key_order(F.col("epoch"), seed)})
+    return used.select(*docs.drop(*USES).columns, *USES)
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("text")
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The last stage of the pipeline: which documents are used how often, in which order."""
+    """The last stage of the pipeline: the mixed training set, a row for each use of a document."""
     return mix(docs)
