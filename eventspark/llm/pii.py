@@ -2,18 +2,24 @@
 
 Base rules find e-mail and IP addresses, payment cards and phone numbers of strict form. Generators of
 high recall propose further spans of looser form (spaced or written-out addresses, other separators,
-numbers without a country code); spans may overlap. Each candidate is described by a few small features of
-its format and of the characters around it, packed into one code of at most N_CODES values. A candidate
-that meets a base span of its kind is a positive example, others are negative ones. Gradient-boosted trees of
-depth two are fitted to the counts of codes and labels over all documents (these counts are all that
+numbers without a country code); spans may overlap. Each candidate is described by small features of its
+format and of the characters around it, packed into one code of at most N_CODES values.
+
+The trees do not learn from what the base rules say of candidates, which they could only repeat. They learn
+from examples made of the corpus: positives are base spans in their own context, rewritten to looser forms (written-out
+signs, other separators, no plus); negatives are near misses (check digits that fail, parts that are too large, too
+few or too many digits, words about a full stop, runs of numbers) at random places of the same texts. Gradient-boosted
+trees of depth two are fitted to the counts of codes and labels over all documents (these counts are all that
 reaches the driver), and on a held-out fifth of the texts each kind gets the lowest threshold at which
-`precision` of the selected candidates are right. Selected candidates that meet no base span are added.
+`precision` of the selected examples are right. Selected candidates that meet no base span are added; candidates
+in the texts themselves are not taken for either.
 
 Everything per document is arrays of spans within its row: no join, no shuffle but that of the counts.
 
 Edge cases: null texts count as empty and have no spans; quantifiers are possessive or bounded by what
-stands before them, so very long runs of digits or letters are read once; repeated rows get the same
-result each; an empty table gives an empty result. Positions are code points, the end exclusive.
+stands before them, so very long runs of digits or letters are read once; a corpus without base spans gives no
+examples, and nothing is added; repeated rows get the same result each; an empty table gives an empty result.
+Positions are code points, the end exclusive.
 """
 
 from __future__ import annotations
@@ -44,13 +50,13 @@ VALID = {
 GENERATORS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+(?:@| ?[(\[](?:at|AT)[)\]] ?| (?:at|AT) )[A-Za-z0-9-]{1,63}+(?:(?:\.| ?[(\[](?:dot|DOT)[)\]] ?| (?:dot|DOT) )[A-Za-z0-9-]{1,63}+){1,8}+",
     "ip": r"(?<![0-9.])[0-9]{1,3}+(?: ?[.,:] ?[0-9]{1,3}+){3}+",
-    "card": r"(?<![0-9])[0-9](?:[ ._/-]?+[0-9]){11,22}+",
+    "card": r"(?<![0-9])[0-9](?:(?: - |[ ._/-])?+[0-9]){11,22}+",
     "phone": r"(?<![0-9+])[+(]?+[0-9](?:[ ().-]{0,3}+[0-9]){6,15}+",
 }
 SPAN = "struct<s:int,e:int,m:string>"
 
 FOLDS = 5
-BINS = {"kind": 4, "digits": 8, "seps": 4, "luhn": 2, "octets": 2, "plus": 2, "before": 3, "after": 3, "keyword": 2}
+BINS = {"kind": 4, "digits": 8, "form": 7, "seps": 3, "luhn": 2, "octets": 2, "before": 3, "after": 3, "keyword": 2}
 N_CODES = int(np.prod(list(BINS.values())))
 #: Words that announce personal data, in the four languages of the corpus.
 KEYWORDS = r"(?i)(?:mail|e-mail|correo|courriel|contact|kontakt|contacto|phone|tel|call|fon|mobile|card|visa|karte|carte|tarjeta|ip|host|server|addr)[a-z]*[ :=.]*$"
@@ -93,20 +99,27 @@ def _code(kind: str, c: Column, text: Column) -> Column:
     """The packed features of a candidate."""
     m = c["m"]
     digits = F.regexp_replace(m, "[^0-9]", "")
-    seps = F.array_distinct(F.split(F.regexp_replace(m, r"[0-9A-Za-z+(\[\])@_%]", ""), ""))
     before, after = F.substring(text, c["s"], F.lit(1)), F.substring(text, c["e"] + 1, F.lit(1))
 
     def side(x: Column) -> Column:
         return F.when(x.rlike(r"[\p{L}\p{N}]"), 2).when(x.rlike(r"\S"), 1).otherwise(0)
 
     n = F.length(digits)
+    if kind == "email":
+        form = F.when(m.contains("@"), F.when(m.rlike(" dot | DOT |[(\\[](?:dot|DOT)"), 1).otherwise(0)).when(m.rlike(r"[(\[](?:at|AT)"), 2).when(m.contains("."), 3).otherwise(4)
+    else:
+        form = (
+            F.when(m.rlike("[0-9] ?, ?[0-9]"), 1).when(m.rlike("[0-9] ?: ?[0-9]"), 2).when(m.rlike("[/_]"), 3)
+            .when(m.rlike("[0-9] ?[.] ?[0-9]"), 4).when(m.rlike("[ ()-]"), 5).otherwise(0)
+        )
+    seps = F.array_distinct(F.split(F.regexp_replace(m, r"[0-9A-Za-z+@%]", ""), ""))
     values = {
         "kind": F.lit(KINDS.index(kind)),
-        "digits": F.when(n == 0, 0).when(n < 4, 1).when(n < 7, 2).when(n < 9, 3).when(n <= 12, 4).when(n <= 15, 5).when(n <= 19, 6).otherwise(7),
-        "seps": F.least(F.size(F.array_remove(seps, "")), F.lit(3)),
+        "digits": F.when(n == 0, 0).when(n < 7, 1).when(n < 9, 2).when(n <= 11, 3).when(n == 12, 4).when(n <= 15, 5).when(n <= 19, 6).otherwise(7),
+        "form": form,
+        "seps": F.least(F.size(F.array_remove(seps, "")), F.lit(2)),
         "luhn": F.when(F.call_function("luhn_check", digits), 1).otherwise(0),
         "octets": F.when(F.forall(F.split(F.regexp_replace(m, "[^0-9]+", "."), r"\."), lambda x: x.rlike("^(?:[0-9]?[0-9]|1[0-9][0-9]|2[0-4][0-9]|25[0-5])$")), 1).otherwise(0),
-        "plus": F.when(m.startswith("+") | m.contains("@"), 1).otherwise(0),
         "before": F.when(c["s"] == 0, 0).otherwise(side(before)),
         "after": side(after),
         "keyword": F.when(F.substring(text, F.greatest(c["s"] - 15, F.lit(1)), F.least(c["s"], F.lit(16))).rlike(KEYWORDS), 1).otherwise(0),
@@ -117,11 +130,11 @@ def _code(kind: str, c: Column, text: Column) -> Column:
     return code
 
 
-CANDIDATE = "struct<kind:string,s:int,e:int,code:int,good:boolean>"
+CANDIDATE = "struct<kind:string,s:int,e:int,code:int>"
 
 
 def with_candidates(spans: DataFrame) -> DataFrame:
-    """Adds cands: every generator's spans with their codes and whether they meet a base span of the kind."""
+    """Adds cands: every generator's spans in __t with their codes."""
     parts = {}
     for kind in KINDS:
         sign = {"email": r"@|\b(?:at|AT)\b"}.get(kind, "[0-9]")
@@ -132,14 +145,79 @@ def with_candidates(spans: DataFrame) -> DataFrame:
 
     def described(kind: str) -> Column:
         def one(c: Column) -> Column:
-            good = F.exists(kind, lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"]))
-            return F.struct(F.lit(kind).alias("kind"), c["s"].alias("s"), c["e"].alias("e"), _code(kind, c, F.col("__t")).alias("code"), good.alias("good")).cast(CANDIDATE)
+            return F.struct(F.lit(kind).alias("kind"), c["s"].alias("s"), c["e"].alias("e"), _code(kind, c, F.col("__t")).alias("code")).cast(CANDIDATE)
 
         return F.transform(f"__c_{kind}", one)
 
     return out.withColumn("cands", F.concat(*map(described, KINDS))).drop(*parts, *(f"__c_{k}" for k in KINDS))
 
 
+# ---------------------------------------------------------------------------------------------------
+# examples
+
+AROUND = 16  # code points of context on either side
+
+
+def _seeds() -> Column:
+    """For each base span its kind, text and context, and the context at a random place of the text."""
+
+    def of(kind: str) -> Column:
+        def one(x: Column) -> Column:
+            at = F.pmod(F.xxhash64(x["s"], x["e"], "__t"), F.length("__t") + 1).cast("int")
+
+            def context(s: Column, e: Column) -> Column:
+                return F.struct(F.substring("__t", F.greatest(s - AROUND, F.lit(0)) + 1, F.least(s, F.lit(AROUND))).alias("b"), F.substring("__t", e + 1, F.lit(AROUND)).alias("a"))
+
+            return F.struct(F.lit(kind).alias("kind"), x["m"].alias("m"), context(x["s"], x["e"]).alias("own"), context(at, at).alias("other"))
+
+        return F.transform(kind, one)
+
+    return F.concat(*map(of, KINDS))
+
+
+def _grouped(digits: str, sign: str) -> str:
+    return f"regexp_replace({digits}, '([0-9]{{4}})(?=[0-9])', '$1{sign}')"
+
+
+#: Looser forms of a base span m, d its digits; reversible, but for the plus. Near misses of it, w being words near it.
+LOOSER = {
+    "email": ["replace(replace(m, '@', ' at '), '.', ' dot ')", "replace(replace(m, '@', '(at)'), '.', '(dot)')", "replace(replace(m, '@', ' [at] '), '.', ' [dot] ')", "replace(replace(m, '@', ' AT '), '.', ' DOT ')"],
+    "ip": ["replace(m, '.', ',')", "replace(m, '.', ' . ')", "replace(m, '.', ':')", "replace(m, '.', '. ')"],
+    "card": [_grouped("d", "."), _grouped("d", "_"), _grouped("d", "/"), "regexp_replace(d, '([0-9]{4})(?=[0-9])', '$1 - ')"],
+    "phone": ["substring(m, 2)", "replace(substring(m, 2), ' ', '-')", "'(' || substring(d, 1, 2) || ') ' || substring(d, 3)", "replace(substring(m, 2), '-', ' ')"],
+}
+_WRONG = "(substring(d, 1, length(d) - 1) || ((int(substring(d, -1)) + 1 + pmod(h, 9)) % 10))"
+NEAR = {
+    "email": ["w[0] || ' at ' || w[1] || '.' || w[2]", "w[0] || ' at ' || w[1] || '.' || initcap(w[2])", "w[2] || ' at ' || w[0] || '.' || w[1]"],
+    "ip": ["regexp_replace(m, '[0-9]+$', string(256 + pmod(h, 700)))", "replace(regexp_replace(m, '^[0-9]+', string(256 + pmod(h, 700))), '.', ',')", "replace(regexp_replace(m, '[0-9]+$', string(256 + pmod(h, 700))), '.', ':')", "replace(regexp_replace(m, '[.][0-9]+[.]', '.' || (256 + pmod(h, 700)) || '.'), '.', ' . ')"],
+    "card": [_grouped(_WRONG, "."), _grouped(_WRONG, "_"), _grouped(_WRONG, "/"), _WRONG],
+    "phone": ["substring(d, 1, 7)", "d || d", "substring(d, 1, 4) || ' ' || substring(d, 5, 4)", "regexp_replace(substring(d, 1, 8), '([0-9]{2})(?=[0-9])', '$1.')"],
+}
+
+
+def examples(seeds: DataFrame) -> DataFrame:
+    """code, good, held: the candidates that meet the made spans, good if they are of the kind. seeds: c (of _seeds()) and held."""
+    words = F.regexp_extract_all(F.concat_ws(" ", "c.other.b", "c.other.a"), F.lit("[A-Za-z]{2,12}"), F.lit(0))
+    words = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: F.coalesce(F.get(words, k), F.lit("word")))
+    base = seeds.select("held", "c.*", words.alias("w")).withColumns({"d": F.regexp_replace("m", "[^0-9]", ""), "h": F.xxhash64("m", "own")})
+
+    def chosen(forms: dict[str, list[str]]) -> Column:
+        found = F.array().cast("array<string>")
+        for kind, texts in forms.items():
+            found = F.when(F.col("kind") == kind, F.array(*map(F.expr, texts))).otherwise(found)
+        return found
+
+    parts = []
+    for good, forms, context in ((True, LOOSER, "own"), (False, NEAR, "other")):
+        made = base.select("kind", "held", F.col(context).alias("c"), F.explode(chosen(forms)).alias("v")).where("v IS NOT NULL")
+        text = F.concat(F.col("c.b"), F.when(F.lit(not good), " ").otherwise(""), "v", F.when(F.lit(not good), " ").otherwise(""), F.col("c.a"))
+        start = F.length("c.b") + int(not good)
+        parts.append(made.select("kind", "held", F.lit(good).alias("good"), text.alias("__t"), start.alias("s"), (start + F.length("v")).alias("e")))
+    found = with_candidates(parts[0].unionByName(parts[1]))
+    meets = F.filter("cands", lambda x: (x["s"] < F.col("e")) & (F.col("s") < x["e"]))
+    return found.select("held", "good", "kind", F.explode(meets).alias("x")).select("x.code", (F.col("good") & (F.col("x.kind") == F.col("kind"))).alias("good"), "held")
+
+
 # ---------------------------------------------------------------------------------------------------
 # boosting over counted codes
 
@@ -196,7 +274,8 @@ class BoostedTrees:
 
 
 def select_codes(counts: list[tuple[int, bool, bool, int]], precision: float = 0.95) -> list[int]:
-    """The codes whose candidates are redacted, from (code, good, held out, count)."""
+    """The codes whose candidates are redacted, from (code, good, held out, count) of examples; of each code that
+    training or calibration has met."""
     if not counts:
         return []
     codes = np.unique([c for c, *_ in counts])
@@ -223,8 +302,11 @@ def find(docs: DataFrame, text: str = "text", keep: list[str] | None = None, pre
     keep = ["doc_id"] if keep is None else keep
     slim = lambda kind: F.transform(kind, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))).alias(kind)
     searched = with_candidates(with_base_spans(docs.select(*dict.fromkeys([*keep, text])), text))
-    found = written(searched.select(*keep, *map(slim, KINDS), "cands", (F.pmod(F.xxhash64("__t"), F.lit(FOLDS)) == 0).alias("held")), "spans")
-    c = found.select("held", F.explode("cands").alias("c")).groupBy("c.code", "c.good", "held").count().collect()  # at most 4 * N_CODES rows
+    some = F.size(F.concat(*KINDS)) > 0
+    held = F.pmod(F.xxhash64("__t"), F.lit(FOLDS)) == 0
+    found = written(searched.select(*keep, *map(slim, KINDS), "cands", held.alias("held"), F.when(some, _seeds()).alias("seeds")), "spans")
+    made = examples(found.select("held", F.explode("seeds").alias("c")))
+    c = made.groupBy("code", "good", "held").count().collect()  # at most 4 * N_CODES rows
     chosen = select_codes([(r["code"], r["good"], r["held"], r["count"]) for r in c], precision)
     codes = F.array(*map(F.lit, chosen)) if chosen else F.array().cast("array<int>")
     every = F.concat(*KINDS)

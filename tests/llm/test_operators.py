@@ -412,11 +412,76 @@ def test_personal_data_redaction_and_edges(spark):
 def test_boosted_trees_learn_a_rule():
     codes = np.arange(pii.N_CODES)[::7]
     x = pii.features(codes)
-    good = ((x[:, 1] >= 4) & (x[:, 3] == 1)).astype(float)
+    good = ((x[:, 1] >= 4) & (x[:, 4] == 1)).astype(float)
     p = pii.BoostedTrees().fit(x, good, 1 - good).prob(x)
     assert ((p > 0.5) == (good > 0)).mean() > 0.99
 
 
+def personal_texts(seed, n):
+    """Texts and (kind, form, start, end) of what stands in them: base for strict forms, loose for rewritten ones, near for near misses."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghijklmnoprstu") for _ in range(rng.randrange(2, 9)))
+
+    def card(valid):
+        while True:
+            d = "".join(rng.choice("0123456789") for _ in range(16))
+            if luhn(d) == valid:
+                return d
+
+    four = lambda d, sep: sep.join(d[k : k + 4] for k in range(0, 16, 4))
+    ip = lambda top=255: [str(rng.randrange(1, top)) for _ in range(4)]
+    phone = lambda: f"{rng.randrange(10, 99)} {rng.randrange(100, 999)} {rng.randrange(100, 999)} {rng.randrange(1000, 9999)}"
+
+    def made(kind, form):
+        if kind == "email":
+            user, host, top = word() + word(), word() + word(), rng.choice(["org", "com", "net"])
+            loose = [f"{user} at {host} dot {top}", f"{user}(at){host}(dot){top}", f"{user} [at] {host} [dot] {top}"]
+            return {"base": f"{user}@{host}.{top}", "loose": rng.choice(loose), "near": f"{word()} at {word()}.{word()}"}[form]
+        if kind == "ip":
+            o = ip()
+            bad = ip()
+            bad[rng.randrange(4)] = str(rng.randrange(256, 999))
+            return {"base": ".".join(o), "loose": rng.choice([",", " . ", ":"]).join(o), "near": rng.choice([",", " . ", ":"]).join(bad)}[form]
+        if kind == "card":
+            return {"base": four(card(True), rng.choice(["", " ", "-"])), "loose": four(card(True), rng.choice([".", "_", "/"])), "near": four(card(False), rng.choice([".", "_", "/"]))}[form]
+        return {"base": "+" + phone(), "loose": rng.choice([phone(), phone().replace(" ", "-")]), "near": "".join(rng.choice("123456789") for _ in range(7))}[form]
+
+    announce = {"email": ["mail ", "contact: "], "ip": ["host ", "ip "], "card": ["card ", "visa: "], "phone": ["phone ", "call "]}
+    out = []
+    for _ in range(n):
+        text, spans = " ".join(word() for _ in range(20)), []
+        for kind in rng.sample(pii.KINDS, 2):
+            form = rng.choice(["base", "base", "loose", "near"])
+            text += " " + ("" if form == "near" else rng.choice(announce[kind]))
+            value = made(kind, form)
+            spans.append((kind, form, len(text), len(text) + len(value)))
+            text += value + rng.choice([" ", ", "]) + " ".join(word() for _ in range(15))
+        out.append((text, spans))
+    return out
+
+
+def test_trees_find_loose_forms_and_leave_near_misses(spark):
+    texts = personal_texts(5, 900)
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    out = pii.find(docs).collect()
+    found, wanted, wrong, added = Counter(), Counter(), Counter(), Counter()
+    for r in out:
+        text, spans = texts[r.doc_id]
+        assert [(k, x.s, x.e) for k in pii.KINDS for x in r[k]] == brute_spans(text)
+        for kind, form, s, e in spans:
+            if form == "loose":
+                wanted[kind] += 1
+                found[kind] += any(x.kind == kind and x.s < e and s < x.e for x in r.added)
+        for x in r.added:
+            added[x.kind] += 1
+            wrong[x.kind] += not any(kind == x.kind and form == "loose" and x.s < e and s < x.e for kind, form, s, e in spans)
+    for kind in pii.KINDS:
+        assert found[kind] >= 0.9 * wanted[kind] > 50, (kind, found, wanted)
+        assert wrong[kind] <= 0.1 * added[kind], (kind, wrong, added)
+    plan = pii.find(docs)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
 # 7
 
 def test_urls_equal_their_sql(spark, sf_dir):
@@ -635,23 +700,6 @@ def test_pipeline_stages_on_edges(spark, sf_dir, edge_texts):
     assert out.select("doc_id", "epoch").distinct().count() == out.count()
 
 
-def test_candidates_of_looser_form_are_added(spark):
-    rng = random.Random(6)
-
-    def card(sep, valid):
-        while True:
-            d = "".join(rng.choice("0123456789") for _ in range(16))
-            if luhn(d) == valid:
-                return sep.join(d[k : k + 4] for k in (0, 4, 8, 12))
-
-    texts = [f"paid by {card(' ', True)} today" for _ in range(120)] + [f"order {card(' ', False)} shipped" for _ in range(120)]
-    texts += [f"paid by {card('.', True)} today" for _ in range(5)] + [f"order {card('.', False)} shipped" for _ in range(5)]
-    out = pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
-    assert all(len(r.card) == 1 and not r.added for r in out[:120])
-    assert all([(x.kind, texts[r.doc_id][x.s : x.e].count(".")) for x in r.added] == [("card", 3)] for r in out[240:245])
-    assert not any(r.added for r in out[120:240]) and not any(r.added for r in out[245:])
-
-
 def brute_similar(texts):
     """Pairs with a Jaccard similarity of five-word shingles of 0.8 or more."""
     sets = []
