@@ -146,16 +146,6 @@ def any_of(*cs: Condition) -> Condition:
     return test
 
 
-def branches(*tests: Condition | None) -> list[Condition]:
-    """Mutually exclusive conditions of an if / else-if / else chain; None stands for else."""
-    out: list[Condition] = []
-    for k, test in enumerate(tests):
-        before = [t for t in tests[:k] if t is not None]
-        own = always if test is None else test
-        out.append(all_of(own, negate(any_of(*before))) if before else own)
-    return out
-
-
 def where(condition: Condition | str | None, operator: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
     """The operator on rows that meet the condition, the others as they are.
 
@@ -166,27 +156,44 @@ def where(condition: Condition | str | None, operator: Callable[[DataFrame], Dat
     if condition is None:
         return operator
     test = sql(condition) if isinstance(condition, str) else condition
+    changes = getattr(operator, "changes_rows", False)
 
     def run(df: DataFrame) -> DataFrame:
-        if getattr(operator, "changes_rows", False):
-            marked = df.withColumn("__if", test(df))
-            yes = operator(marked.where("__if").drop("__if"))
-            return yes.unionByName(marked.where("NOT __if").drop("__if"), allowMissingColumns=True)
+        mark, was = unused("__if", df), unused("__old", df)  # conditions may stand in conditions
+        if changes:
+            marked = df.withColumn(mark, test(df))
+            yes = operator(marked.where(F.col(mark)).drop(mark))
+            return yes.unionByName(marked.where(~F.col(mark)).drop(mark), allowMissingColumns=True)
         # Catalyst takes the struct apart again, and drops the choice for columns that did not change
         before = F.struct(*(F.col(f"`{c}`") for c in df.columns))
-        done = operator(df.withColumns({"__if": test(df), "__old": before}))
-        hit, shown = F.col("__if"), []
+        done = operator(df.withColumns({mark: test(df), was: before}))
+        hit, shown = F.col(mark), []
         for f in done.schema.fields:
-            now, old = F.col(f"`{f.name}`"), F.col("__old")[f.name]
-            if f.name in ("__if", "__old"):
+            if f.name in (mark, was):
                 continue
+            now, old = F.col(f"`{f.name}`"), F.col(was)[f.name]
             if f.name in df.columns:
                 same = f.dataType == df.schema[f.name].dataType
                 now = F.when(hit, now).otherwise(old if same else old.try_cast(f.dataType))
             else:
                 now = F.when(hit, now)
             shown.append(now.alias(f.name))
-        gone = [F.when(~hit, F.col("__old")[c]).alias(c) for c in df.columns if c not in done.columns]
+        gone = [F.when(~hit, F.col(was)[c]).alias(c) for c in df.columns if c not in done.columns]
         return done.select(*shown, *gone)
 
+    run.changes_rows = changes
     return run
+
+
+def unused(name: str, df: DataFrame) -> str:
+    """The name, with a number behind it if a column bears it."""
+    return next(n for n in (name, *(f"{name}{k}" for k in range(1, len(df.columns) + 2))) if n not in df.columns)
+
+
+def choice(*tests: Condition | None) -> Condition:
+    """The number of the first condition of a chain that holds, null if none does; None stands for else."""
+
+    def number(df: DataFrame) -> Column:
+        return F.coalesce(*(F.when((always if t is None else t)(df), k) for k, t in enumerate(tests)), F.lit(None).cast("int"))
+
+    return number

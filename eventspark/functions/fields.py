@@ -7,7 +7,9 @@ in the struct `@metadata`.
 
 from __future__ import annotations
 
+import math
 import re
+from collections.abc import Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -155,3 +157,26 @@ def event_json(df: DataFrame) -> Column:
     if "@version" not in df.columns:
         shown.append(F.lit("1").alias("@version"))
     return F.to_json(F.struct(*shown))
+
+
+#: Text and quoted names of a SQL statement, comments, and named parameters; only the latter have a group.
+_PARAMETER = re.compile(r"""'(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.)*"|`[^`]*`|--[^\n]*|/\*.*?\*/|(?<![:\w]):([A-Za-z_]\w*)""", re.S)
+
+
+def named_parameters(statement: str, values: Mapping[str, str]) -> str:
+    """The statement with SQL in place of its parameters `:name`; text, quoted names and comments stay as they are."""
+    return _PARAMETER.sub(lambda m: values.get(m[1], m[0]) if m[1] else m[0], statement)
+
+
+def sql_literal(value: object) -> str:
+    """A Python value as SQL."""
+    if value is None or isinstance(value, bool):
+        return {None: "NULL", True: "true", False: "false"}[value]
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    if isinstance(value, (list, tuple)):
+        return f"array({', '.join(map(sql_literal, value))})"
+    if isinstance(value, float):
+        return f"{value!r}D" if math.isfinite(value) else f"double('{value}')"
+    return str(value)
+

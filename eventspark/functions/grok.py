@@ -28,7 +28,7 @@ PATTERNS = {
     "IP": _IPV4,
     "IPV4": _IPV4,
     "IPV6": r"(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}|(?:[0-9a-fA-F]{1,4}:){1,7}:|(?:[0-9a-fA-F]{1,4}:){1,6}:[0-9a-fA-F]{1,4}",
-    "IPORHOST": rf"(?:{_HOST}|{_IPV4[3:-1]})",
+    "IPORHOST": r"(?:[0-9A-Za-z][0-9A-Za-z\-\.]*|(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\.(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\.(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\.(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?))",
     "HOSTNAME": _HOST,
     "HOSTPORT": _HOST + r":\d+",
     "PORT": r"\d+",

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.fields import add_tags, field, has, template, text_of, with_field
+from ..functions.fields import add_tags, field, has, named_parameters, template, text_of, with_field
 from ..functions.regex import java
 
 Operator = Callable[[DataFrame], DataFrame]
@@ -98,18 +98,20 @@ def lookup_join(table: DataFrame, on: Mapping[str, str], how: str = "left", colu
 
 def lookup_query(statement: str, parameters: Mapping[str, str], target: str, tag: str | None = "_jdbcstreamingfailure") -> Operator:
     """A parametrised query per event, done as one join: the statement, SQL over registered views with
-    named parameters `:name`, is turned into a lateral subquery on the event's fields (parameter -> field)."""
+    named parameters `:name`, is turned into a lateral subquery on the event's fields (parameter -> field).
+    Rows without one of these fields get an empty array and the tag, as nothing can be asked for them."""
 
     def run(df: DataFrame) -> DataFrame:
         spark = df.sparkSession
-        text = statement
-        for name, source in parameters.items():
-            text = text.replace(f":{name}", f"__ev.`{source}`")
-        view = f"__ev_{abs(hash((statement, target, id(df))))}"
-        df.createOrReplaceTempView(view)
+        text = named_parameters(statement, {name: f"__ev.`{source}`" for name, source in parameters.items()})
         fields = spark.sql(statement, args={n: None for n in parameters}).columns
         row = ", ".join(f"'{c}', `{c}`" for c in fields)
-        out = spark.sql(f"SELECT __ev.*, __l.__rows FROM {view} AS __ev LEFT JOIN LATERAL (SELECT collect_list(named_struct({row})) AS __rows FROM ({text})) AS __l")
+        out = spark.sql(f"SELECT __ev.*, __l.__rows FROM {{ev}} AS __ev LEFT JOIN LATERAL (SELECT collect_list(named_struct({row})) AS __rows FROM ({text})) AS __l", ev=df)
+        if tag:
+            absent = F.lit(False)
+            for source in parameters.values():
+                absent = absent | F.col(f"`{source}`").isNull()
+            out = add_tags(out, tag, when=absent)
         return with_field(out, target, F.coalesce("__rows", F.array().cast(out.schema["__rows"].dataType))).drop("__rows")
 
     return run
@@ -155,3 +157,22 @@ def memcached_get(keys: Mapping[str, str], client: Callable[[], Callable[[str],
         return df
 
     return run
+
+
+def memcached_set(values: Mapping[str, str], client: Callable[[], Callable[[str, str], None]]) -> Callable[[DataFrame], None]:
+    """field -> key template: writes the fields' texts to a cache. client() opens a session once a task and gives
+    a function of key and value. Of several rows with one key the greatest value is written, so that a task that
+    runs again writes the same. An action, so it is called in foreachBatch or at the end of a batch job."""
+
+    def run(df: DataFrame) -> None:
+        def put(rows) -> None:
+            write = client()
+            for row in rows:
+                write(row["k"], row["v"])
+
+        for name, key in values.items():
+            if has(df, name):
+                pairs = df.select(template(df, key).alias("k"), text_of(df, name).alias("v")).where("v IS NOT NULL")
+                pairs.groupBy("k").agg(F.max("v").alias("v")).foreachPartition(put)
+
+    return run

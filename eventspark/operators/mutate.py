@@ -103,12 +103,13 @@ def gsub(changes: Sequence[tuple[str, str, str]]) -> Operator:
     return run
 
 
-def convert(kinds: Mapping[str, str], keep_failed: str | None = None) -> Operator:
+def convert(kinds: Mapping[str, str], keep_failed: str | None = None, keep_value: bool = False) -> Operator:
     """integer and float take whole numbers as written (nothing around them), boolean is true for
     true, 1, yes, t and y, string is the text form.
 
     A column has one type: where a number cannot be read the value becomes null, and its text is kept in
-    the field `keep_failed`.format(name) if that is given.
+    the field `keep_failed`.format(name) if that is given. With keep_value the column becomes a VARIANT that holds
+    the number where there is one, and the value as it was where there is none.
     """
 
     def run(df: DataFrame) -> DataFrame:
@@ -129,6 +130,9 @@ def convert(kinds: Mapping[str, str], keep_failed: str | None = None) -> Operato
                 raise ValueError(f"cannot convert to {kind!r}")
             if keep_failed and kind in ("integer", "float"):
                 df = with_field(df, keep_failed.format(name), F.when(new.isNull(), text))
+            if keep_value and kind in ("integer", "float"):
+                new = F.coalesce(F.when(new.isNotNull(), F.call_function("to_variant_object", F.array(new))), F.when(text.isNotNull(), F.call_function("to_variant_object", F.array(text))))
+                new = F.try_variant_get(new, "$[0]", "variant")
             df = with_field(df, name, new)
         return df
 

@@ -16,10 +16,10 @@ import re
 from collections.abc import Callable, Mapping, Sequence
 from graphlib import TopologicalSorter
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..functions.conditions import branches, sql, where
+from ..functions.conditions import choice, sql, unused, where
 from ..operators import lookups, mutate, network, parse, rows, script, shape
 from ..streaming import state
 
@@ -50,13 +50,23 @@ def expand_env(text: str, env: Mapping[str, str] | None = None) -> str:
 
 
 def step(spec: Mapping) -> Operator:
-    """One filter, or a chain of branches: {"branches": [{"if": ..., "then": [filters]}, ..., {"then": [...]}]}."""
+    """One filter, or a chain of branches: {"branches": [{"if": ..., "then": [filters]}, ..., {"then": [...]}]}.
+
+    Which branch a row takes is settled before any of them changes it.
+    """
     if "branches" in spec:
-        tests = [sql(b["if"]) if isinstance(b.get("if"), str) else b.get("if") for b in spec["branches"]]
-        steps = []
-        for test, branch in zip(branches(*tests), spec["branches"], strict=True):
-            steps += [where(test, step(s)) for s in branch["then"]]
-        return chain(steps)
+        which = choice(*(sql(b["if"]) if isinstance(b.get("if"), str) else b.get("if") for b in spec["branches"]))
+        steps = [(k, step(s)) for k, branch in enumerate(spec["branches"]) for s in branch["then"]]
+
+        def run(df: DataFrame) -> DataFrame:
+            name = unused("__branch", df)
+            out = df.withColumn(name, which(df))
+            for k, s in steps:
+                out = where(lambda _, k=k: F.coalesce(F.col(name) == k, F.lit(False)), s)(out)
+            return out.drop(name)
+
+        run.changes_rows = any(getattr(s, "changes_rows", False) for _, s in steps)
+        return run
     if spec["use"] not in FILTERS:
         raise ValueError(f"no filter {spec['use']!r}")
     return where(spec.get("if"), FILTERS[spec["use"]](**spec.get("with", {})))
@@ -68,6 +78,7 @@ def chain(steps: Sequence[Operator]) -> Operator:
             df = df.transform(s)
         return df
 
+    run.changes_rows = any(getattr(s, "changes_rows", False) for s in steps)
     return run
 
 
@@ -117,10 +128,12 @@ def connect(pipelines: Mapping[str, Mapping], sources: Mapping[str, DataFrame])
     return frames | {a: union(*parts) for a, parts in sent.items() if a not in frames}
 
 
-def counters(df: DataFrame, name: str, failures: Sequence[str] = ()) -> DataFrame:
-    """The rows with an observation of how many passed and how many carry failure tags (see df.observe)."""
+def counters(df: DataFrame, name: str | Observation, failures: Sequence[str] = (), message: str | None = None) -> DataFrame:
+    """The rows with an observation of how many passed, how many carry failure tags, and the bytes of a text (see df.observe)."""
     parts = [F.count("*").alias("events")]
     if failures and "tags" in df.columns:
         bad = F.arrays_overlap(F.coalesce("tags", F.array().cast("array<string>")), F.array(*map(F.lit, failures)))
         parts.append(F.count(F.when(bad, 1)).alias("failed"))
+    if message:
+        parts.append(F.sum(F.octet_length(message)).cast("long").alias("bytes"))
     return df.observe(name, *parts)

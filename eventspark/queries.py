@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import binary_codecs, codecs
@@ -291,10 +292,19 @@ def _(spark, sf_dir):
     return df.select("c_custkey", "f256", "f1", "f5")
 
 
-@query("fingerprint_keyed")
+def _pad(byte: int) -> str:
+    """The key `secret` as a block of 64 bytes, each with the pad, as a SQL blob."""
+    return "from_hex('" + bytes(b ^ byte for b in b"secret".ljust(64, b"\0")).hex() + "')"
+
+
+@query("fingerprint_keyed", f"SELECT c_custkey, c_name, sha256({_pad(0x5C)} || from_hex(sha256({_pad(0x36)} || encode(c_name)))) AS hmac FROM customer")
 def _(spark, sf_dir):
-    df = _t(spark, sf_dir, "customer")
-    return df.transform(shape.fingerprint(["c_name"], "hmac", key="secret")).transform(shape.fingerprint(["c_name"], "mix", "MURMUR3")).select("c_custkey", "c_name", "hmac", "mix")
+    return _t(spark, sf_dir, "customer").transform(shape.fingerprint(["c_name"], "hmac", key="secret")).select("c_custkey", "c_name", "hmac")
+
+
+@query("fingerprint_mixed")
+def _(spark, sf_dir):
+    return _t(spark, sf_dir, "customer").transform(shape.fingerprint(["c_name"], "mix", "MURMUR3")).select("c_custkey", "c_name", "mix")
 
 
 @query("anonymize", "SELECT c_custkey, sha1(c_name) AS c_name, md5(c_mktsegment) AS c_mktsegment FROM customer")
@@ -473,6 +483,17 @@ def _(spark, sf_dir):
     return _joined(df.transform(state.throttle("%{event_type}", ["event_id"], "ts", before_count=2, after_count=5, period=10**9))).select("event_id", "tags")
 
 
+@query(
+    "throttle_columns",
+    """WITH e AS (SELECT *, CASE WHEN event_id % 5 <> 0 THEN 9007199254740993 + event_id * 2 END AS big FROM events)
+SELECT event_id, big, CASE WHEN row_number() OVER (PARTITION BY event_type, date_trunc('day', ts) ORDER BY ts, event_id) > 2 THEN '_throttle' ELSE '' END AS tags FROM e""",
+)
+def _(spark, sf_dir):
+    big = F.when(F.col("event_id") % 5 != 0, F.lit(9007199254740993) + F.col("event_id") * 2)
+    df = _t(spark, sf_dir, "events").select("event_id", F.concat_ws("-", "event_type", F.date_format("ts", "yyyy-MM-dd")).alias("key"), "ts", big.alias("big"))
+    return _joined(df.transform(state.throttle("%{key}", ["ts", "event_id"], "ts", after_count=2, period=10**6))).select("event_id", "big", "tags")
+
+
 @query("meter", "SELECT event_id, count(CASE WHEN event_id % 3 <> 0 THEN 1 END) OVER (PARTITION BY event_type ORDER BY event_id) AS k_count FROM events")
 def _(spark, sf_dir):
     df = _t(spark, sf_dir, "events").withColumn("k", F.when(F.col("event_id") % 3 != 0, F.lit(1)))
@@ -523,6 +544,116 @@ def _(spark, sf_dir):
     return _joined(_t(spark, sf_dir, "orders").transform(op)).select("o_orderkey", "q", "y", "tags")
 
 
+def _scripted(spark, sf_dir, name: str, keys: list[str], assignments: dict[str, str], params: dict | None = None) -> DataFrame:
+    made = list(dict.fromkeys(k.partition(" ")[0] for k in assignments))
+    return _joined(_t(spark, sf_dir, name).transform(script.script(assignments, params))).select(*keys, *(m for m in made if not m.startswith("_")), "tags")
+
+
+@query(
+    "script_strings",
+    """SELECT p_partkey, upper(p_name) AS up, lower(p_brand) AS low, CAST(strlen(p_name) AS BIGINT) AS bytes, contains(p_name, 'ri') AS has, substr(p_name, 2, 3) AS part, trim('  ' || p_type || ' ') AS trimmed, starts_with(p_name, 'red') AS starts, ends_with(p_name, 'g') AS ends, replace(p_name, 'e', '_') AS replaced,
+ CAST(len(string_split(p_name, ' ')) AS BIGINT) AS words, CAST(strpos(p_name, 'i') - 1 AS BIGINT) AS at, substr(p_name, 3, 1) AS ch, 'name: ' || p_name || ', it''s :name' AS note, '' AS tags FROM part""",
+)
+def _(spark, sf_dir):
+    return _scripted(spark, sf_dir, "part", ["p_partkey"], {
+        "up": "upper(p_name)", "low": "lower(p_brand)", "bytes": "bigint(octet_length(p_name))", "has": "contains(p_name, :n)", "part": "substring(p_name, :i + 1, 3)", "trimmed": "trim('  ' || p_type || ' ')",
+        "starts": "startswith(p_name, 'red')", "ends": "endswith(p_name, 'g')", "replaced": "replace(p_name, 'e', '_')", "words": "bigint(size(split(p_name, ' ')))", "at": "bigint(locate('i', p_name) - 1)",
+        "ch": "substring(p_name, 3, 1)", "note": ":name || p_name || ', it\\'s :name'",
+    }, {"n": "ri", "name": "name: ", "i": 1})
+
+
+@query("script_regex", "SELECT o_orderkey, regexp_matches(o_orderpriority, '[0-9]-[UH]') AS found, regexp_full_match(o_orderpriority, '[0-9]-[A-Z]+') AS whole, regexp_extract(o_orderpriority, '-(.*)$', 1) AS name, '' AS tags FROM orders")
+def _(spark, sf_dir):
+    return _scripted(spark, sf_dir, "orders", ["o_orderkey"], {"found": "o_orderpriority rlike '[0-9]-[UH]'", "whole": r"o_orderpriority rlike '\\A(?:[0-9]-[A-Z]+)\\z'", "name": "regexp_extract(o_orderpriority, '-(.*)$', 1)"})
+
+
+@query(
+    "script_arrays",
+    """WITH p AS (SELECT *, string_split(p_name, ' ') AS w FROM part)
+SELECT p_partkey, CAST(len(w) AS BIGINT) AS n, list_contains(w, 'red') AS has, CAST(coalesce(list_position(w, 'ring'), 0) - 1 AS BIGINT) AS at, array_to_string(list_append(w, 'x'), '-') AS added, array_to_string(list_concat(w[1:1], w[3:]), '-') AS removed, len(w) = 0 AS empty, w[2] AS second, array_to_string(w, '+') AS joined,
+ CAST(p_size * (p_size + 1) // 2 AS BIGINT) AS total, CAST(list_sum(list_transform(w, lambda x: length(x))) AS BIGINT) AS letters, '' AS tags FROM p""",
+)
+def _(spark, sf_dir):
+    return _scripted(spark, sf_dir, "part", ["p_partkey"], {
+        "_w": "split(p_name, ' ')", "n": "bigint(size(_w))", "has": "array_contains(_w, 'red')", "at": "array_position(_w, 'ring') - 1", "added": "array_join(array_append(_w, 'x'), '-')",
+        "removed": "array_join(concat(slice(_w, 1, 1), slice(_w, 3, size(_w))), '-')", "empty": "size(_w) = 0", "second": "get(_w, 1)", "joined": "array_join(_w, '+')",
+        "total": "aggregate(sequence(1L, bigint(p_size)), 0L, (s, x) -> s + x)", "letters": "aggregate(_w, 0L, (s, x) -> s + length(x))",
+    })
+
+
+@query(
+    "script_maps",
+    """SELECT event_id, true AS has, CAST(user_id AS VARCHAR) AS got, 'k,type,user' AS put, 'type' AS removed, CAST(2 AS BIGINT) AS n, event_type = 'click' AS clicked, false AS empty, event_type || ',' || user_id AS vals, CASE WHEN event_id % 2 = 0 THEN '_scripterror' ELSE '' END AS tags FROM events WHERE event_id % 2 = 1
+UNION ALL SELECT event_id, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, '_scripterror' FROM events WHERE event_id % 2 = 0""",
+)
+def _(spark, sf_dir):
+    return _scripted(spark, sf_dir, "events", ["event_id"], {
+        "_m": "map('type', event_type, 'user', string(user_id))", "has": "map_contains_key(_m, 'type')", "got": "try_element_at(_m, if(event_id % 2 = 1, 'user', 'nothing'))",
+        "put": "array_join(array_sort(map_keys(map_concat(_m, map('k', 'v')))), ',')", "removed": "array_join(map_keys(map_filter(_m, (k, v) -> k <> 'user')), ',')", "n": "bigint(size(_m))",
+        "clicked": "array_contains(map_values(_m), 'click')", "empty": "size(_m) = 0", "vals": "array_join(map_values(_m), ',')",
+    })
+
+
+@query(
+    "script_dates",
+    """WITH o AS (SELECT o_orderkey, o_orderdate + to_hours(CAST(o_orderkey % 24 AS BIGINT)) + to_minutes(CAST(o_orderkey % 60 AS BIGINT)) + to_seconds(CAST(o_orderkey % 59 AS BIGINT)) AS t FROM orders)
+SELECT o_orderkey, CAST(year(t) AS BIGINT) AS y, CAST(month(t) AS BIGINT) AS mo, CAST(day(t) AS BIGINT) AS d, CAST(hour(t) AS BIGINT) AS h, CAST(minute(t) AS BIGINT) AS mi, CAST(second(t) AS BIGINT) AS s, CAST(isodow(t) AS BIGINT) AS dow, CAST(dayofyear(t) AS BIGINT) AS doy,
+ strftime(t + INTERVAL 40 DAY - INTERVAL 90 MINUTE, '%Y-%m-%d %H:%M:%S') AS later, CAST(date_diff('day', DATE '1970-01-01', CAST(t AS DATE)) AS BIGINT) AS days, '' AS tags FROM o""",
+)
+def _(spark, sf_dir):
+    return _scripted(spark, sf_dir, "orders", ["o_orderkey"], {
+        "_t": "cast(o_orderdate as timestamp_ntz) + make_dt_interval(0, int(o_orderkey % 24), int(o_orderkey % 60), o_orderkey % 59)", "y": "bigint(year(_t))", "mo": "bigint(month(_t))", "d": "bigint(day(_t))", "h": "bigint(hour(_t))", "mi": "bigint(minute(_t))", "s": "bigint(second(_t))",
+        "dow": "bigint(weekday(_t) + 1)", "doy": "bigint(dayofyear(_t))", "later": "date_format(_t + make_dt_interval(40) - make_dt_interval(0, 0, 90), 'yyyy-MM-dd HH:mm:ss')", "days": "bigint(datediff(_t, date'1970-01-01'))",
+    })
+
+
+@query(
+    "script_casts",
+    """SELECT o_orderkey, o_orderkey AS whole, CAST(o_orderkey % 1000 AS INT) AS small, CAST(o_custkey AS DOUBLE) + 0.5 AS real, CAST(o_orderkey AS VARCHAR) AS text, o_orderkey % 2 = 0 AS yes, CAST(trunc(o_totalprice) AS BIGINT) AS cut, CAST(-1 AS INT) AS fallback, '' AS tags FROM orders""",
+)
+def _(spark, sf_dir):
+    return _scripted(spark, sf_dir, "orders", ["o_orderkey"], {
+        "whole": "bigint(string(o_orderkey))", "small": "int(string(o_orderkey % 1000))", "real": "double(string(o_custkey) || '.5')", "text": "string(o_orderkey)", "yes": "boolean(if(o_orderkey % 2 = 0, 'true', 'false'))",
+        "cut": "bigint(o_totalprice)", "fallback": "coalesce(try_cast(o_orderstatus as int), -1)",
+    })
+
+
+@query(
+    "script_math",
+    """WITH p AS (SELECT p_partkey, p_retailprice / 3000 AS x, CAST(p_size AS DOUBLE) AS y FROM part)
+SELECT p_partkey, round(greatest(x, y) + least(x, 2.0) + abs(-x), 6) AS ends, round(ln(y) + log10(y) + log2(y) + exp(x), 6) AS logs, round(sqrt(y) + cbrt(y) + pow(x, 2.5), 6) AS roots, CAST(ceil(y / 3) * 10000 + floor(y / 3) * 100 + round(y / 4) AS BIGINT) AS cuts, round_even(y / 2, 0) AS even,
+ round(sin(y) + cos(y) + tan(x) + asin(x / 2) + acos(x / 2) + atan(y) + atan2(x, y), 6) AS angles, round(sinh(x) + cosh(x) + tanh(x), 6) AS hyper, sign(y - 25) AS sig, round(radians(y) + degrees(x), 6) AS turned, '' AS tags FROM p""",
+)
+def _(spark, sf_dir):
+    return _scripted(spark, sf_dir, "part", ["p_partkey"], {
+        "_x": "p_retailprice / 3000", "_y": "double(p_size)", "ends": "round(greatest(_x, _y) + least(_x, 2D) + abs(-_x), 6)", "logs": "round(ln(_y) + log10(_y) + log2(_y) + exp(_x), 6)", "roots": "round(sqrt(_y) + cbrt(_y) + pow(_x, 2.5D), 6)",
+        "cuts": "bigint(ceil(_y / 3) * 10000 + floor(_y / 3) * 100 + round(_y / 4))", "even": "rint(_y / 2)", "angles": "round(sin(_y) + cos(_y) + tan(_x) + asin(_x / 2) + acos(_x / 2) + atan(_y) + atan2(_x, _y), 6)",
+        "hyper": "round(sinh(_x) + cosh(_x) + tanh(_x), 6)", "sig": "signum(_y - 25)", "turned": "round(radians(_y) + degrees(_x), 6)",
+    })
+
+
+@query(
+    "script_compound",
+    """SELECT l_orderkey, l_linenumber, CAST(((l_orderkey + 10) * 2 - l_linenumber) // 3 % 7 AS BIGINT) AS n, l_returnflag || l_linestatus || l_linenumber AS s, CASE WHEN l_linenumber % 2 = 1 THEN l_quantity / (l_linenumber % 2) END AS q, CASE WHEN l_linenumber % 2 = 0 THEN '_scripterror' ELSE '' END AS tags FROM lineitem WHERE l_linenumber % 2 = 1
+UNION ALL SELECT l_orderkey, l_linenumber, NULL, NULL, NULL, '_scripterror' FROM lineitem WHERE l_linenumber % 2 = 0""",
+)
+def _(spark, sf_dir):
+    return _scripted(spark, sf_dir, "lineitem", ["l_orderkey", "l_linenumber"], {"n": "l_orderkey", "n +=": ":step", "n *=": "2", "n -=": "l_linenumber", "n /=": "3", "n %=": "7", "s": "l_returnflag", "s +=": "l_linestatus || l_linenumber", "q": "l_quantity", "q /=": "l_linenumber % 2"}, {"step": 10})
+
+
+@query(
+    "script_control",
+    """SELECT event_id, CASE WHEN value > 90 THEN 'high' WHEN value > 50 THEN 'middle' ELSE 'low' END AS level, CAST((user_id % 10) * (user_id % 10 + 1) // 2 AS BIGINT) AS sum_to, CASE WHEN user_id % 10 = 0 THEN -1 ELSE CAST(1000 // (user_id % 10) AS BIGINT) END AS tried, CASE WHEN event_id % 4 <> 0 THEN event_id ELSE -1 END + 1 AS after_null, '' AS tags FROM events""",
+)
+def _(spark, sf_dir):
+    df = _t(spark, sf_dir, "events").withColumn("maybe", F.when(F.col("event_id") % 4 != 0, F.col("event_id")))
+    op = script.script({
+        "level": "if(value > 90, 'high', if(value > 50, 'middle', 'low'))", "sum_to": "aggregate(sequence(0L, user_id % 10), 0L, (s, i) -> s + i)",
+        "tried": "coalesce(1000L div nullif(user_id % 10, 0), -1L)", "after_null": "coalesce(maybe, -1) + 1",
+    })
+    return _joined(df.transform(op)).select("event_id", "level", "sum_to", "tried", "after_null", "tags")
+
+
 _VECTORS = "WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS a FROM embeddings), z AS (SELECT a AS b FROM e WHERE vec_id = (SELECT min(vec_id) FROM embeddings))"
 
 
@@ -561,10 +692,10 @@ def _(spark, sf_dir):
     return df.select("event_id", F.col("`sc-bytes`").alias("sc_bytes"), F.col("`cs-method`").alias("method"), F.col("`cs-referer`").alias("referer"), "tags")
 
 
-@query("codec_cloudtrail", "SELECT user_id, event_id, event_type AS \"eventName\", count(*) OVER (PARTITION BY user_id) AS n FROM events")
+@query("codec_cloudtrail", "SELECT user_id, event_id, event_type AS \"eventName\", count(*) OVER (PARTITION BY user_id, event_id // 500) AS n FROM events")
 def _(spark, sf_dir):
     record = F.struct(F.col("event_id").alias("eventID"), F.col("event_type").alias("eventName"))
-    docs = _t(spark, sf_dir, "events").groupBy("user_id").agg(F.to_json(F.struct(F.collect_list(record).alias("Records"))).alias("message"))
+    docs = _t(spark, sf_dir, "events").groupBy("user_id", F.expr("event_id div 500").alias("part")).agg(F.to_json(F.struct(F.collect_list(record).alias("Records"))).alias("message"))
     df = codecs.decode_cloudtrail(docs, "message", "eventID bigint, eventName string")
     return df.select("user_id", F.col("eventID").alias("event_id"), "eventName", F.col("cloudtrail_record_count").alias("n"))
 
@@ -574,7 +705,7 @@ def _(spark, sf_dir):
     df = _t(spark, sf_dir, "events").select("event_id", "event_type", "user_id")
     index = codecs.encode_es_bulk(df, "logs-%{event_type}", doc_id="%{event_id}")
     gone = codecs.encode_es_bulk(df, "logs-%{event_type}", "delete", "%{event_id}")
-    bulk = df.select(F.when(F.col("event_type") == "error", gone).otherwise(index).alias("b"), (F.col("event_id") % 50).alias("g")).groupBy("g").agg(F.array_join(F.collect_list("b"), "").alias("message"))
+    bulk = df.select(F.when(F.col("event_type") == "error", gone).otherwise(index).alias("b"), F.expr("event_id div 500").alias("g")).groupBy("g").agg(F.array_join(F.collect_list("b"), "").alias("message"))
     out = codecs.decode_es_bulk(bulk, "message", "user_id bigint")
     return out.select(F.col("_id").cast("long").alias("event_id"), F.col("_action").alias("action"), F.col("_index").alias("index_name"), F.col("_id").alias("id"), "user_id")
 
@@ -603,6 +734,73 @@ def _(spark, sf_dir):
     return binary_codecs.decode_netflow5(df, "data").select("flow_sequence", "ipv4_src_addr", "in_pkts", "l4_src_port", "protocol")
 
 
+def _hexed(value: str | F.Column, width: int) -> F.Column:
+    return F.lpad(F.hex(value), 2 * width, "0")
+
+
+def _flow_packets(df: DataFrame, version: int) -> F.Column:
+    """A header, on an exporter's first packet the template 256 (source address, packets), and one record."""
+    key, first = F.col("c_custkey"), F.col("first")
+    template = F.concat(F.lit("0000" if version == 9 else "0002"), F.lit("0010"), F.lit("01000002" + "00080004" + "00020004"))
+    record = F.concat(F.lit("0100000C" + "0A00"), _hexed(F.floor(key / 256) % 256, 1), _hexed(key % 256, 1), _hexed(key % 1000, 4))
+    body = F.concat(F.when(first, template).otherwise(""), record)
+    head = F.concat(F.lit("00090002" + "00" * 8), _hexed(key, 4), F.lit("00000007")) if version == 9 else F.concat(F.lit("000A0040" + "00" * 4), _hexed(key, 4), F.lit("00000007"))
+    return F.unhex(F.concat(head, body))
+
+
+def _flows(spark: SparkSession, sf_dir: str, version: int) -> DataFrame:
+    df = _t(spark, sf_dir, "customer").select("c_nationkey", "c_custkey")
+    firsts = df.groupBy("c_nationkey").agg(F.min("c_custkey").alias("least"))
+    df = df.join(firsts, "c_nationkey").withColumn("first", F.col("c_custkey") == F.col("least"))
+    df = df.select("c_nationkey", "c_custkey", _flow_packets(df, version).alias("data"))
+    out = binary_codecs.decode_netflow_templates(df, "data", "c_nationkey", "c_custkey")
+    return out.select("c_custkey", *(F.try_variant_get("event", f"$.{n}", t).alias(n) for n, t in (("netflow_version", "long"), ("flow_sequence", "long"), ("ipv4_src_addr", "string"), ("in_pkts", "long"))))
+
+
+@query("codec_netflow9", "SELECT c_custkey, CAST(9 AS BIGINT) AS netflow_version, c_custkey AS flow_sequence, '10.0.' || (c_custkey // 256 % 256) || '.' || (c_custkey % 256) AS ipv4_src_addr, c_custkey % 1000 AS in_pkts FROM customer")
+def _(spark, sf_dir):
+    return _flows(spark, sf_dir, 9)
+
+
+@query("codec_ipfix", "SELECT c_custkey, CAST(10 AS BIGINT) AS netflow_version, c_custkey AS flow_sequence, '10.0.' || (c_custkey // 256 % 256) || '.' || (c_custkey % 256) AS ipv4_src_addr, c_custkey % 1000 AS in_pkts FROM customer")
+def _(spark, sf_dir):
+    return _flows(spark, sf_dir, 10)
+
+
+@query("codec_collectd", "SELECT event_id AS time, 'h' || user_id AS host, event_type AS plugin, user_id * 2 AS value FROM events")
+def _(spark, sf_dir):
+    def text(kind: int, value: F.Column) -> F.Column:
+        return F.concat(_hexed(F.lit(kind), 2), _hexed(F.octet_length(value) + 5, 2), F.hex(value.cast("binary")), F.lit("00"))
+
+    values = F.concat(F.lit("0006000F" + "0001" + "02"), _hexed(F.col("user_id") * 2, 8))
+    packet = F.concat(text(0, F.concat(F.lit("h"), F.col("user_id").cast("string"))), text(2, F.col("event_type")), F.lit("0001000C"), _hexed(F.col("event_id"), 8), values)
+    df = _t(spark, sf_dir, "events").select(F.unhex(packet).alias("data"))
+    return binary_codecs.decode_binary(df, "data", "collectd", "time long, host string, plugin string, value long").select("time", "host", "plugin", "value")
+
+
+@query("codec_avro_header", """SELECT n_nationkey, '{"name":"' || n_name || '"}' AS avro_schema, 'null' AS avro_codec, CAST(n_nationkey AS BIGINT) AS avro_block_count FROM nation""")
+def _(spark, sf_dir):
+    schema = F.concat(F.lit('{"name":"'), "n_name", F.lit('"}'))
+    length = lambda x: _hexed(F.octet_length(x) * 2, 1)  # noqa: E731  below 64 bytes a zigzag number is one byte
+    entry = lambda k, v: F.concat(length(k), F.hex(k.cast("binary")), length(v), F.hex(v.cast("binary")))
+    data = F.concat(F.lit("4F626A0104"), entry(F.lit("avro.schema"), schema), entry(F.lit("avro.codec"), F.lit("null")), F.lit("00" + "AB" * 16), _hexed(F.col("n_nationkey") * 2, 1), F.lit("06414243"))
+    df = _t(spark, sf_dir, "nation").select("n_nationkey", F.unhex(data).alias("data"))
+    return binary_codecs.decode_binary(df, "data", "avro", "avro_schema string, avro_codec string, avro_block_count long").select("n_nationkey", "avro_schema", "avro_codec", "avro_block_count")
+
+
+@query(
+    "codec_json",
+    """SELECT event_id, CASE WHEN event_id % 6 <> 0 THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS k, CASE WHEN event_id % 6 = 0 THEN '_codecfailure' ELSE '' END AS tags,
+ '{"event_id":' || event_id || ',"event_type":"' || event_type || '","value":' || user_id || ',"@version":"1"}' || chr(10) AS line FROM events""",
+)
+def _(spark, sf_dir):
+    df = _t(spark, sf_dir, "events")
+    out = df.select("event_id", "event_type", F.col("user_id").alias("value"))
+    raw = df.select("event_id", F.when(F.col("event_id") % 6 == 0, "{oops").otherwise(F.col("props")).alias("raw"))
+    df = out.select("event_id", codecs.encode_json(out, lines=True).alias("line")).join(raw, "event_id")
+    return _joined(codecs.decode_json(df, "raw", "k bigint")).select("event_id", "k", "tags", "line")
+
+
 @query("codec_nmap", "SELECT s_suppkey, '10.0.0.' || s_suppkey AS ip, s_name AS hostname, 'up' AS status, CAST(2 AS BIGINT) AS ports, CAST(443 AS BIGINT) AS last FROM supplier")
 def _(spark, sf_dir):
     text = F.expr("""'<nmaprun scanner="nmap"><host><status state="up"/><address addr="10.0.0.' || s_suppkey || '" addrtype="ipv4"/><hostnames><hostname name="' || s_name || '"/></hostnames><ports><port protocol="tcp" portid="80"><state state="open"/><service name="http"/></port><port protocol="tcp" portid="443"><state state="open"/></port></ports></host></nmaprun>'""")
@@ -613,10 +811,12 @@ def _(spark, sf_dir):
 # ---------------------------------------------------------------------------------------------------
 # sources, sinks, pipelines, streams
 
-@query("source_generator", "SELECT 'hello' AS message, i AS sequence, CASE WHEN i % 8 < 8 THEN 'alert' END AS severity FROM (SELECT count(*) AS n FROM events) t, LATERAL (SELECT unnest(range(t.n)) AS i)")
+@query("source_generator", "SELECT 'hello' AS message, event_id AS sequence, 'alert' AS severity, event_type FROM events WHERE event_id >= 0")
 def _(spark, sf_dir):
-    df = tables.generator(spark, _t(spark, sf_dir, "events").count(), "<1>hello")
-    return tables.syslog_fields(df).select("message", "sequence", "severity")
+    # generated rows are matched with the table's, so that both are read
+    events = _t(spark, sf_dir, "events")
+    df = tables.syslog_fields(tables.generator(spark, events.agg(F.max("event_id")).first()[0] + 1, "<1>hello"))
+    return df.join(events.select(F.col("event_id").alias("sequence"), "event_type"), "sequence").select("message", "sequence", "severity", "event_type")
 
 
 @query("union_inputs", "SELECT CAST(o_orderkey AS BIGINT) AS id, o_orderstatus AS status, CAST(NULL AS VARCHAR) AS kind FROM orders UNION ALL SELECT event_id, NULL, event_type FROM events")
@@ -635,6 +835,71 @@ def _(spark, sf_dir):
     return pipeline.connect(pipelines, {"events": _t(spark, sf_dir, "events")})["store"].select("event_id", "via")
 
 
+@query("cond_nested", "SELECT o_orderkey, CASE WHEN o_totalprice > 100000 THEN CASE WHEN o_orderstatus = 'F' THEN 'dear, done' WHEN o_orderstatus = 'O' THEN 'dear, open' ELSE 'dear' END ELSE CASE WHEN NOT (o_orderstatus = 'F') THEN 'cheap, not done' ELSE 'cheap' END END AS label FROM orders")
+def _(spark, sf_dir):
+    def put(text: str) -> dict:
+        return {"use": "mutate", "with": {"replace": {"label": text}}}
+
+    dear = {"branches": [{"if": "o_orderstatus = 'F'", "then": [put("dear, done")]}, {"if": c.eq("o_orderstatus", "O"), "then": [put("dear, open")]}, {"then": [put("dear")]}]}
+    cheap = {"branches": [{"if": c.negate(c.eq("o_orderstatus", "F")), "then": [put("cheap, not done")]}, {"then": [put("cheap")]}]}
+    spec = {"branches": [{"if": "o_totalprice > 100000", "then": [dear]}, {"then": [cheap]}]}
+    return _t(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus").transform(pipeline.step(spec)).select("o_orderkey", "label")
+
+
+@query("cond_settled", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'O' WHEN 'O' THEN 'P' ELSE o_orderstatus END AS o_orderstatus FROM orders WHERE NOT (o_orderstatus = 'P' AND o_orderkey % 2 = 0)")
+def _(spark, sf_dir):
+    put = lambda text: {"use": "mutate", "with": {"replace": {"o_orderstatus": text}}}
+    drop = {"branches": [{"if": "o_orderkey % 2 = 0", "then": [{"use": "drop"}]}]}
+    spec = {"branches": [{"if": "o_orderstatus = 'F'", "then": [put("O")]}, {"if": "o_orderstatus = 'O'", "then": [put("P")]}, {"if": "o_orderstatus = 'P'", "then": [drop]}]}
+    return _t(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus").transform(pipeline.step(spec))
+
+
+@query("cond_constants", "SELECT r_regionkey, true AS yes, false AS no, r_regionkey > 1 AS some FROM region")
+def _(spark, sf_dir):
+    return _flagged(_t(spark, sf_dir, "region"), "r_regionkey", yes=c.sql("true"), no=c.negate(c.sql("true")), some=c.all_of(c.sql("true"), c.compare("r_regionkey", ">", 1)))
+
+
+@query("pipeline_counters", "SELECT count(*) AS events, count(*) FILTER (event_id % 7 = 0) AS failed, CAST(sum(octet_length(encode(CASE WHEN event_id % 7 = 0 THEN '{' ELSE props END))) AS BIGINT) AS bytes FROM events")
+def _(spark, sf_dir):
+    df = _t(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 7 == 0, "{").otherwise(F.col("props")).alias("message"))
+    seen = Observation("passed")
+    counted = pipeline.counters(df.transform(parse.json("message", "k bigint")), seen, ["_jsonparsefailure"], "message")
+    counted.write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([(seen.get["events"], seen.get["failed"], seen.get["bytes"])], "events long, failed long, bytes long")
+
+
+@query(
+    "dns_reverse",
+    """SELECT user_id, event_id, CASE WHEN event_id % 3 = 0 THEN 'no address' ELSE '10.0.0.' || (user_id % 200) || CASE WHEN user_id % 200 < 100 THEN ',host-' || (user_id % 200) ELSE '' END END AS addr, CASE WHEN event_id % 3 = 0 OR user_id % 200 >= 100 THEN '_dnsfailure' ELSE '' END AS tags FROM events""",
+)
+def _(spark, sf_dir):
+    addr = F.when(F.col("event_id") % 3 == 0, "no address").otherwise(F.concat(F.lit("10.0.0."), (F.col("user_id") % 200).cast("string")))
+    known = lambda: lambda ip: f"host-{ip.split('.')[3]}" if int(ip.split(".")[3]) < 100 else None  # noqa: E731  stands for a resolver
+    df = _t(spark, sf_dir, "events").select("user_id", "event_id", addr.alias("addr")).transform(network.dns("addr", known, reverse=True, action="append"))
+    return _joined(df).select("user_id", "event_id", F.array_join("addr", ",").alias("addr"), "tags")
+
+
+@query(
+    "geoip_text_ranges",
+    """SELECT c_custkey, CASE WHEN c_custkey % 4 = 3 THEN NULL WHEN c_custkey % 4 = 2 THEN NULL WHEN c_custkey % 4 = 0 THEN CASE WHEN c_custkey % 200 < 128 THEN 'four, low' ELSE 'four, high' END ELSE CASE WHEN c_custkey % 200 < 128 THEN 'six, low' ELSE 'six, high' END END AS place,
+ CASE WHEN c_custkey % 4 >= 2 THEN '_geoip_lookup_failure' ELSE '' END AS tags FROM customer""",
+)
+def _(spark, sf_dir):
+    n = (F.col("c_custkey") % 200).cast("string")
+    six = F.concat(F.lit("2001:DB8::"), F.lower(F.hex(F.col("c_custkey") % 200)))
+    addr = F.when(F.col("c_custkey") % 4 == 0, F.concat(F.lit("10.1.2."), n)).when(F.col("c_custkey") % 4 == 1, six).when(F.col("c_custkey") % 4 == 2, F.concat(F.lit("10.9.9."), n)).otherwise("2001:::1")
+    ranges = spark.createDataFrame([("10.1.2.0", "10.1.2.127", "four, low"), ("10.1.2.128", "10.1.2.255", "four, high"), ("2001:db8::", "2001:db8::7f", "six, low"), ("2001:db8::80", "2001:db8::ffff", "six, high"), ("fe80::", "fe80::1:0:0:0", "local")], "first string, last string, place string")
+    df = _t(spark, sf_dir, "customer").select("c_custkey", addr.alias("addr")).transform(network.geoip("addr", ranges=ranges))
+    return _joined(df).select("c_custkey", F.col("geoip.place").alias("place"), "tags")
+
+
+@query("xml_document", "SELECT c_custkey, CASE WHEN c_custkey % 5 <> 0 THEN c_custkey END AS id, CASE WHEN c_custkey % 5 <> 0 THEN c_name END AS name, CASE WHEN c_custkey % 5 <> 0 THEN 'a,b' END AS tags_, CASE WHEN c_custkey % 5 = 0 THEN '_xmlparsefailure' ELSE '' END AS tags FROM customer")
+def _(spark, sf_dir):
+    text = F.when(F.col("c_custkey") % 5 == 0, "<open>").otherwise(F.concat(F.lit('<c id="'), F.col("c_custkey").cast("string"), F.lit('"><name>'), "c_name", F.lit("</name><t>a</t><t>b</t></c>")))
+    df = _t(spark, sf_dir, "customer").select("c_custkey", text.alias("message")).transform(parse.xml(schema="_id bigint, name string, t array<string>", target="doc"))
+    return _joined(df).select("c_custkey", F.col("doc._id").alias("id"), F.col("doc.name").alias("name"), F.array_join("doc.t", ",").alias("tags_"), "tags")
+
+
 @query("sink_graphite_lines", "SELECT 's.s_nationkey ' || s_nationkey || ' 1700000000' AS value FROM supplier UNION ALL SELECT 's.s_suppkey ' || s_suppkey || ' 1700000000' FROM supplier")
 def _(spark, sf_dir):
     df = _t(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", F.timestamp_seconds(F.lit(1_700_000_000)).alias("@timestamp"))
@@ -649,7 +914,12 @@ def _(spark, sf_dir):
 
 
 def _scratch(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="eventspark-")
+    """A folder that all executors share; one of this machine only where Spark runs on it alone."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="eventspark-")
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
@@ -704,9 +974,11 @@ def _(spark, sf_dir):
     return tables.gelf_fields(df, "host string, short_message string, _custom long").select("event_id", "message", "host", "custom")
 
 
-@query("source_heartbeat", "SELECT 'ok' AS message, i AS sequence, 'heartbeat' AS type FROM (SELECT count(*) AS n FROM orders) t, LATERAL (SELECT unnest(range(t.n)) AS i)")
+@query("source_heartbeat", "SELECT 'ok' AS message, o_orderkey AS sequence, 'heartbeat' AS type, o_orderstatus FROM orders WHERE o_orderkey >= 0")
 def _(spark, sf_dir):
-    return tables.heartbeat(spark, _t(spark, sf_dir, "orders").count())
+    orders = _t(spark, sf_dir, "orders")
+    beats = tables.heartbeat(spark, orders.agg(F.max("o_orderkey")).first()[0] + 1)
+    return beats.join(orders.select(F.col("o_orderkey").alias("sequence"), "o_orderstatus"), "sequence").select("message", "sequence", "type", "o_orderstatus")
 
 
 @query("codec_text_forms", """SELECT r_regionkey, r_name || chr(10) AS plain, '.' AS dots, '{' || chr(10) || '  "message" => "' || r_name || '",' || chr(10) || '  "r_regionkey" => ' || r_regionkey || chr(10) || '}' || chr(10) AS debug FROM region""")
@@ -718,7 +990,7 @@ def _(spark, sf_dir):
 @query("codec_csv_records", "SELECT s_nationkey AS nation, CAST(s_suppkey AS VARCHAR) AS id, s_name AS name FROM supplier")
 def _(spark, sf_dir):
     line = F.concat_ws(",", F.col("s_suppkey").cast("string"), "s_name")
-    df = _t(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("nation")).agg(F.array_join(F.collect_list(line), "\n").alias("message"))
+    df = _t(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("nation"), F.expr("s_suppkey div 500")).agg(F.array_join(F.collect_list(line), "\n").alias("message"))
     return codecs.decode_csv(df, "message", ["id", "name"]).select("nation", "id", "name")
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.codecs import decode_graphite
+from ..functions.fields import named_parameters
 from ..operators.parse import SEVERITIES
 
 
@@ -63,7 +64,7 @@ def jdbc(spark: SparkSession, url: str, statement: str, last_value: str | int |
     next_value() gives for the following run; partition: column, lowest, highest value and number of parts."""
     if last_value is not None:
         shown = str(last_value) if isinstance(last_value, int) else "'" + last_value.replace("'", "''") + "'"
-        statement = statement.replace(":sql_last_value", shown)
+        statement = named_parameters(statement, {"sql_last_value": shown})
     reader = spark.read.format("jdbc").option("url", url).options(**(options or {}))
     if partition:
         column, low, high, n = partition

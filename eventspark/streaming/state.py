@@ -11,7 +11,9 @@ import pickle
 import tempfile
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -74,8 +76,8 @@ def throttle(key: str, order: Sequence[str], time: str = "@timestamp", before_co
     """Tags rows whose count in their key's window is at most before_count or over after_count (-1: no limit).
 
     A window opens with the key's first row and reopens with the first row at least `period` seconds later,
-    so windows depend on each other; each key's rows are read in order, streamed through Arrow batches, and
-    only the open window is held.
+    so windows depend on each other; each key's rows are read in order, streamed through Arrow batches whose
+    columns stay as they are, and only the open window's start and count are held.
     """
 
     def run(df: DataFrame) -> DataFrame:
@@ -83,21 +85,31 @@ def throttle(key: str, order: Sequence[str], time: str = "@timestamp", before_co
         keyed = df.withColumns({"__key": template(df, key), "__time": F.col(f"`{time}`").cast("timestamp").cast("double")})
         ordered = keyed.repartition("__key").sortWithinPartitions("__key", *order)
 
-        def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             now, opened, n = object(), 0.0, 0
-            for pdf in batches:
-                counts = []
-                for k, t in zip(pdf["__key"], pdf["__time"], strict=True):
-                    if k != now:
-                        now, opened, n = k, t, 0
-                    elif t - opened >= period:
-                        opened, n = t, 0
-                    n += 1
-                    counts.append(n)
-                yield pdf.assign(__n=counts)
+            for batch in batches:
+                keys = batch.column(batch.schema.get_field_index("__key"))
+                times = batch.column(batch.schema.get_field_index("__time")).to_numpy(zero_copy_only=False)
+                codes = keys.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+                edges = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1], [True]))) if len(codes) else [0]
+                counts = np.empty(batch.num_rows, np.int64)
+                for s, e in zip(edges[:-1], edges[1:], strict=True):
+                    if keys[int(s)].as_py() != now:
+                        now, opened, n = keys[int(s)].as_py(), times[s], 0
+                    at, step = int(s), 64
+                    while at < e:  # from one reopening of the window to the next
+                        late = np.flatnonzero(times[at : min(at + step, e)] - opened >= period)
+                        to = at + int(late[0]) if len(late) else min(at + step, int(e))
+                        counts[at:to] = np.arange(n + 1, n + 1 + to - at)
+                        n += to - at
+                        at, step = to, step * 2
+                        if len(late):
+                            opened, n, step = times[at], 0, 64
+                            counts[at], n, at = 1, 1, at + 1
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts)], names=[*batch.schema.names, "__n"])
 
         schema = T.StructType([*keyed.schema.fields, T.StructField("__n", T.LongType())])
-        counted = ordered.mapInPandas(count, schema)
+        counted = ordered.mapInArrow(count, schema)
         hit = F.lit(False)
         if before_count >= 0:
             hit = hit | (F.col("__n") <= before_count)
@@ -154,20 +166,44 @@ def _in_order(batches: Iterator[pd.DataFrame], by: str, rows: int = 1000, fan_in
         yield from merged(runs)
 
 
+def _as_text(kind: T.DataType) -> T.DataType:
+    """The type with text in place of numbers, which pandas would round where nulls are among them."""
+    if isinstance(kind, T.NumericType) and not isinstance(kind, T.DecimalType):
+        return T.StringType()
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(_as_text(kind.elementType), kind.containsNull)
+    if isinstance(kind, T.MapType):
+        return T.MapType(_as_text(kind.keyType), _as_text(kind.valueType), kind.valueContainsNull)
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, _as_text(f.dataType), f.nullable) for f in kind.fields])
+    return kind
+
+
+def _cast(df: DataFrame, schema: T.StructType) -> DataFrame:
+    return df.select(*(F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema.fields), *(c for c in df.columns if c not in schema.names))
+
+
+def _sortable(df: DataFrame, name: str) -> Column:
+    """A column that pandas sorts as Spark does: whole numbers as decimals."""
+    return F.col(f"`{name}`").cast("decimal(20,0)") if isinstance(df.schema[name].dataType, T.IntegralType) else F.col(f"`{name}`")
+
+
 def throttle_stream(df: DataFrame, key: str, before_count: int = -1, after_count: int = -1, period: float = 3600, max_age: float | None = 86400, time: str = "@timestamp", tag: str = "_throttle") -> DataFrame:
     """throttle() for streams: one counter and its start per key, dropped max_age seconds after its last use
     (None: kept; a stream with timeouts never runs out of work, so AvailableNow needs None). A key's rows of one
-    micro-batch are counted in the order of time."""
-    schema = T.StructType([*(f for f in df.schema.fields if f.name != "tags"), T.StructField("tags", T.ArrayType(T.StringType()))])
+    micro-batch are counted in the order of time. Other columns come out as they went in."""
+    plain = T.StructType([f for f in df.schema.fields if f.name != "tags"])
+    text = _as_text(plain)
+    schema = T.StructType([*text.fields, T.StructField("tags", T.ArrayType(T.StringType()))])
 
     def count(_, batches, state):
         if state.hasTimedOut:
             state.remove()
             return
         n, opened = state.get if state.exists else (0, None)
-        for pdf in _in_order(batches, time):
+        for pdf in _in_order(batches, "__time"):
             marks = []
-            for t in pdf[time]:
+            for t in pdf["__time"]:
                 t = t.timestamp()
                 if opened is None or t - opened >= period:
                     n, opened = 0, t
@@ -175,22 +211,23 @@ def throttle_stream(df: DataFrame, key: str, before_count: int = -1, after_count
                 hit = 0 <= before_count and n <= before_count or 0 <= after_count < n
                 marks.append([tag] if hit else [])
             old = pdf["tags"] if "tags" in pdf else [[]] * len(pdf)
-            pdf = pdf.drop(columns=["tags"], errors="ignore").drop(columns="__key")
-            yield pdf.assign(tags=[[*(o if o is not None else []), *m] for o, m in zip(old, marks, strict=True)])[[f.name for f in schema.fields]]
+            yield pdf.assign(tags=[[*(o if o is not None else []), *m] for o, m in zip(old, marks, strict=True)])[schema.names]
         state.update((n, opened))
         if max_age is not None:
             state.setTimeoutDuration(int(max_age * 1000))
 
-    keyed = df.withColumn("__key", template(df, key))
-    return keyed.groupBy("__key").applyInPandasWithState(count, schema, "n long, opened double", "append", "NoTimeout" if max_age is None else "ProcessingTimeTimeout")
+    keyed = _cast(df.withColumns({"__key": template(df, key), "__time": F.col(f"`{time}`").cast("timestamp")}), text)
+    counted = keyed.groupBy("__key").applyInPandasWithState(count, schema, "n long, opened double", "append", "NoTimeout" if max_age is None else "ProcessingTimeTimeout")
+    return _cast(counted, plain)
 
 
 def aggregate_stream(df: DataFrame, task: str, fields: Sequence[str], end: str, order: str | None = None, map_action: str = "update", timeout: float | None = 1800) -> DataFrame:
     """aggregate() for streams: emits each task's map (fields, tags, task_id) when a row has `end` true, or
     after `timeout` seconds without rows (None: never; a stream with timeouts does not run out of work).
-    Rows that arrive in one batch are taken in order of `order`."""
-    out = T.StructType([*(df.schema[f] for f in fields), T.StructField("tags", T.ArrayType(T.StringType())), T.StructField("task_id", T.StringType())])
-    held = T.StructType([T.StructField(f, df.schema[f].dataType) for f in fields])
+    Rows that arrive in one batch are taken in order of `order`; a task's rows are never all in memory."""
+    plain = T.StructType([df.schema[f] for f in fields])
+    text = _as_text(plain)
+    out = T.StructType([*text.fields, T.StructField("tags", T.ArrayType(T.StringType())), T.StructField("task_id", T.StringType())])
 
     def collect(key, batches, state):
         values = dict(zip(fields, state.get, strict=True)) if state.exists else None
@@ -198,11 +235,10 @@ def aggregate_stream(df: DataFrame, task: str, fields: Sequence[str], end: str,
             state.remove()
             yield pd.DataFrame([{**values, "tags": ["_aggregatetimeout"], "task_id": key[0]}])
             return
-        made = []
-        whole = pd.concat(list(batches))
-        for pdf in [whole.sort_values(order) if order else whole]:
+        for pdf in _in_order(batches, "__order") if order else batches:
+            made = []
             for row in pdf.to_dict("records"):
-                new = {f: None if pd.isna(row[f]) else row[f] for f in fields}
+                new = {f: None if row[f] is pd.NaT or isinstance(row[f], float) else row[f].tolist() if isinstance(row[f], np.ndarray) else row[f] for f in fields}  # numbers are text: a float is an absent value
                 if values is None:
                     values = new
                 elif map_action == "update":
@@ -210,17 +246,19 @@ def aggregate_stream(df: DataFrame, task: str, fields: Sequence[str], end: str,
                 if row["__end"]:
                     made.append({**values, "tags": [], "task_id": key[0]})
                     values = None
+            if made:
+                yield pd.DataFrame(made)
         if values is None:
             state.remove()
         else:
             state.update(tuple(values[f] for f in fields))
             if timeout is not None:
                 state.setTimeoutDuration(int(timeout * 1000))
-        if made:
-            yield pd.DataFrame(made)
 
-    keyed = df.withColumns({"__task": template(df, task), "__end": F.coalesce(F.expr(end).cast("boolean"), F.lit(False))})
-    return keyed.groupBy("__task").applyInPandasWithState(collect, out, held, "append", "NoTimeout" if timeout is None else "ProcessingTimeTimeout")
+    made = {"__task": template(df, task), "__end": F.coalesce(F.expr(end).cast("boolean"), F.lit(False))}
+    keyed = df.withColumns(made | ({"__order": _sortable(df, order)} if order else {}))
+    keyed = _cast(keyed.select(*fields, *made, *(["__order"] if order else [])), text)
+    return _cast(keyed.groupBy("__task").applyInPandasWithState(collect, out, text, "append", "NoTimeout" if timeout is None else "ProcessingTimeTimeout"), plain)
 
 
 def meter(fields: Sequence[str], order: Sequence[str], by: Sequence[str] = ()) -> Operator:
@@ -256,9 +294,10 @@ def rates(df: DataFrame, time: str, width: str, by: Sequence[str] = (), watermar
     return source.groupBy(F.window(time, width), *by).agg(F.count("*").alias("events")).select(F.col("window.start").alias("start"), *by, "events")
 
 
-def multiline(pattern: str, order: Sequence[str], by: Sequence[str] = (), source: str = "message", negate: bool = False, what: str = "previous", max_lines: int = 500, joiner: str = "\n") -> Operator:
+def multiline(pattern: str, order: Sequence[str], by: Sequence[str] = (), source: str = "message", negate: bool = False, what: str = "previous", max_lines: int = 500, max_bytes: int | None = None, joiner: str = "\n") -> Operator:
     """Joins lines to events: a line that meets the pattern (or with negate one that does not) belongs to
-    the previous or the next one. Events are cut after max_lines."""
+    the previous or the next one. Events are cut after max_lines, and after the line with which their lines
+    reach a multiple of max_bytes."""
 
     def run(df: DataFrame) -> DataFrame:
         hit = F.coalesce(F.col(source).rlike(java(pattern)), F.lit(False))
@@ -268,7 +307,11 @@ def multiline(pattern: str, order: Sequence[str], by: Sequence[str] = (), source
         out = df.withColumn("__hit", hit).withColumn("__first", first)
         out = out.withColumn("__event", F.sum(F.col("__first").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
         out = out.withColumn("__line", F.row_number().over(Window.partitionBy(*by, "__event").orderBy(*order)))
-        out = out.withColumn("__part", F.floor((F.col("__line") - 1) / max_lines))
+        part = [F.floor((F.col("__line") - 1) / max_lines)]
+        if max_bytes:
+            before = F.sum(F.octet_length(source) + len(joiner.encode())).over(Window.partitionBy(*by, "__event").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+            part.append(F.floor(F.coalesce(before, F.lit(0)) / max_bytes))
+        out = out.withColumn("__part", F.struct(*(p.alias(f"p{k}") for k, p in enumerate(part))))
         position = F.struct(*order)
         lines = F.array_sort(F.collect_list(F.struct(position.alias("o"), F.col(source).alias("m"))))
         return out.groupBy(*by, "__event", "__part").agg(

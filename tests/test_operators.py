@@ -305,3 +305,119 @@ def test_batch_equals_stream(spark, tmp_path):
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")).transform(op)
     writers.on_batches(stream.select("id", "n"), [(None, lambda b: b.write.mode("append").parquet(str(tmp_path / "out")))], str(tmp_path / "log")).awaitTermination()
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())) == sorted(map(tuple, df.transform(op).select("id", "n").collect()))
+
+
+# parameters, exact columns, addresses
+
+def test_named_parameters_leave_text_alone():
+    from eventspark.functions.fields import named_parameters, sql_literal
+
+    text = "SELECT ':n', \":n\", `:n`, a::int, x:n, :n, :name -- :n\n/* :n */"
+    assert named_parameters(text, {"n": "1", "name": "2"}) == "SELECT ':n', \":n\", `:n`, a::int, x:n, 1, 2 -- :n\n/* :n */"
+    assert [sql_literal(x) for x in (None, True, 3, 1.5, "it's \\", [1, "a"])] == ["NULL", "true", "3", "1.5D", "'it\\'s \\\\'", "array(1, 'a')"]
+
+
+def test_script_parameters_and_errors(spark):
+    df = spark.createDataFrame([(1, None), (2, 0), (3, 2)], "a int, b int")
+    rows = script.script({"c": "b + 1", "d": "a div nullif(b, 0) + :n", "t": "':n' || :name"}, {"n": 5, "name": "x"})(df).orderBy("a").collect()
+    assert [(r.c, r.d, r.t, list(r.tags)) for r in rows] == [(None, None, None, ["_scripterror"]), (None, None, None, ["_scripterror"]), (3, 6, ":nx", [])]
+    with pytest.raises(ValueError):
+        script.script({"a ^=": "1"})(df)
+
+
+BIG = [None, 9007199254740993, 1152921504606846983, -9007199254740993]
+
+
+def test_throttle_leaves_other_columns_as_they_are(spark):
+    rows = [(k, "ab"[k % 2], 1000.0 + 10 * k if k % 11 else None, BIG[k % 4], [BIG[k % 4], k]) for k in range(200)]
+    df = spark.createDataFrame(rows, "i long, k string, t double, big long, list array<long>").withColumn("@timestamp", F.timestamp_seconds("t"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        out = state.throttle("%{k}", ["i"], after_count=2, period=95)(df).orderBy("i").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    wanted, open_ = [], {}
+    for _, k, t, *_ in rows:
+        start, n = open_.get(k, (None, 0))
+        if k not in open_ or start is not None and t is not None and t - start >= 95:
+            start, n = t, 0
+        open_[k] = (start, n + 1)
+        wanted.append(["_throttle"] if n + 1 > 2 else [])
+    assert [list(r.tags) for r in out] == wanted
+    assert [(r.i, r.k, r.t, r.big, r.list) for r in out] == rows
+
+
+def test_streams_leave_other_columns_as_they_are(spark, tmp_path):
+    rows = [(k, "ab"[k % 2], BIG[k % 4], [BIG[k % 4], k], k / 4, k % 9 == 8) for k in range(90)]
+    df = spark.createDataFrame(rows, "i long, k string, big long, list array<long>, part double, last boolean").withColumn("@timestamp", F.timestamp_seconds("i"))
+    df.repartition(3).write.parquet(str(tmp_path / "in"))
+
+    def ran(out, name):
+        out.writeStream.option("checkpointLocation", str(tmp_path / f"{name}-log")).trigger(availableNow=True).format("parquet").start(str(tmp_path / name)).awaitTermination()
+        return spark.read.parquet(str(tmp_path / name))
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+    try:
+        read = lambda: spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+        got = ran(state.throttle_stream(read(), "%{k}", after_count=3, period=10**6, max_age=None), "throttled").orderBy("i").collect()
+        maps = ran(state.aggregate_stream(read(), "%{k}", ["i", "big", "list", "part"], "last", order="i", timeout=None), "maps").orderBy("i").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert [(r.i, r.k, r.big, r.list, r.part, r.last) for r in got] == rows
+    assert [list(r.tags) for r in got] == [["_throttle"] if i // 2 >= 3 else [] for i in range(90)]
+    held, wanted = {}, []
+    for i, k, big, list_, part, last in rows:
+        held.setdefault(k, {}).update({n: v for n, v in (("i", i), ("big", big), ("list", list_), ("part", part)) if v is not None})
+        if last:
+            m = held.pop(k)
+            wanted.append((m["i"], m.get("big"), m["list"], m["part"], k))
+    assert [(r.i, r.big, r.list, r.part, r.task_id) for r in maps] == wanted
+
+
+def test_addresses_of_both_families(spark):
+    import ipaddress
+
+    texts = ["::", "::1", "1::", "2001:db8::8:800:200C:417A", "fe80::1", "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7::", "::ffff:1.2.3.4", "64:ff9b::192.0.2.33", "1:2:3:4:5:6:1.2.3.4", "fc00::"]
+    bad = ["", ":", ":::", "1::2::3", "1:2:3:4:5:6:7", "1:2:3:4:5:6:7:8:9", "12345::", "g::", "1.2.3.4", "::1.2.3", "::1.2.3.256", "1:2", None, "::1 "]
+    df = spark.createDataFrame([(t,) for t in texts + bad], "t string")
+    got = [r.d for r in df.select(network.ipv6_text(F.col("t")).alias("d")).collect()]
+    assert got == [f"{int(ipaddress.ip_address(t)):032x}" for t in texts] + [None] * len(bad)
+    inside = df.where(network.in_networks(F.col("t"), ["fc00::/7", "fe80::/10", "1.0.0.0/8"])).collect()
+    assert {r.t for r in inside} == {"fe80::1", "fc00::", "1.2.3.4"}
+
+
+def test_dns_appends_to_lists(spark):
+    df = spark.createDataFrame([(["a", "b"],), (["x"],), (None,)], "names array<string>")
+    out = network.dns("names", lambda: {"a": "1.1.1.1"}.get, action="append")(df).collect()
+    assert sorted((str(r.names), str(r.tags)) for r in out) == [("None", "[]"), ("['a', 'b', '1.1.1.1']", "[]"), ("['x']", "['_dnsfailure']")]
+
+
+def test_memcached_set_writes_each_key_once(spark, tmp_path):
+    folder = str(tmp_path)
+
+    def client():
+        return lambda k, v: open(f"{folder}/{k}", "a").write(v + "\n")
+
+    df = spark.createDataFrame([(1, "a"), (1, "b"), (2, None), (3, "c")], "id long, name string")
+    lookups.memcached_set({"name": "user-%{id}", "nowhere": "x"}, client)(df)
+    assert {p.name: p.read_text() for p in tmp_path.iterdir()} == {"user-1": "b\n", "user-3": "c\n"}
+
+
+def test_convert_can_keep_what_is_no_number(spark):
+    df = spark.createDataFrame([("12",), ("x",), (None,)], "a string")
+    out = mutate.convert({"a": "integer"}, keep_value=True)(df).select(F.to_json("a").alias("j")).collect()
+    assert [r.j for r in out] == ["12", '"x"', None]
+
+
+def test_multiline_cuts_by_bytes(spark):
+    df = spark.createDataFrame([(k, "start" if k == 0 else f" line{k}") for k in range(7)], "i int, message string")
+    out = state.multiline(r"^\s", ["i"], max_bytes=14)(df).orderBy("i").collect()
+    assert [r.lines for r in out] == [3, 2, 2]
+
+
+def test_drop_in_a_branch_reaches_its_rows_only(spark):
+    from eventspark.plans import pipeline
+
+    df = spark.range(10).withColumn("x", F.col("id") % 3)
+    spec = {"branches": [{"if": "x = 0", "then": [{"use": "mutate", "with": {"replace": {"y": "zero"}}}, {"use": "drop", "if": "id > 3"}]}, {"if": "id > 5", "then": [{"branches": [{"if": "x = 1", "then": [{"use": "drop"}]}]}]}]}
+    assert sorted((r.id, r.y) for r in pipeline.step(spec)(df).collect()) == [(0, "zero"), (1, None), (2, None), (3, "zero"), (4, None), (5, None), (8, None)]
