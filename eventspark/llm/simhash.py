@@ -70,6 +70,8 @@ def segment_counts(fp: Column) -> Column:
 
 def links(fps: DataFrame) -> DataFrame:
     """a, b: each fingerprint of a linked group with the group's smallest. fps: distinct, column fp."""
+    # one row becomes 65, so few rows are dealt to all tasks first
+    fps = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     # bit 64 stands for the pattern itself
     flipped = F.when(F.col("bit") < 64, F.col("fp").bitwiseXOR(F.expr("shiftleft(1L, bit)"))).otherwise(F.col("fp"))
     near = fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(64))).alias("bit")).select("fp", flipped.alias("pattern"))

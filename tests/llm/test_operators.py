@@ -508,6 +508,19 @@ def test_url_rules_against_brute_force(spark):
     assert urls.judge(pages.limit(0), frame).count() == 0 and urls.judge(pages, frame.limit(0)).where("rule IS NOT NULL").count() == 0
 
 
+def test_urls_on_edges(spark):
+    long = "http://" + "a." * 3000 + "example.net/en/" + "x/" * 20_000
+    rows = [(1, "http://Sub.Example.NET/en/a?b#c"), (1, "http://Sub.Example.NET/en/a?b#c"), (2, None), (3, ""), (4, "no scheme"), (5, long), (6, "http://example.net"), (None, "x://org/fr/")]
+    pages = spark.createDataFrame(rows, "page_id long, url string").withColumns({"host": F.lit("clash"), "path": F.lit(1), "rule": F.lit(2), "verdict": F.lit(3), "key": F.lit("k"), "slice": F.lit(0), "labels": F.lit(4)})
+    rules = spark.createDataFrame(urls.RULES + [urls.RULES[0]], "host string, path string, verdict string")
+    out = urls.judge(pages, rules).collect()
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in out}
+    assert len(out) == len(rows) and {r.key for r in out} == {"k"}
+    assert got[1] == ("sub.example.net", "/en/a", "example.net/en/", "allow") and got[6] == ("example.net", "", None, "allow")
+    assert got[2] == got[3] == got[4] == ("", "", None, "allow")
+    assert got[5][2:] == ("example.net/en/", "allow") and got[None][2:] == ("org/fr/", "allow")
+
+
 # 8
 
 def test_katz_equals_brute_force(spark):
