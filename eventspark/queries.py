@@ -906,6 +906,17 @@ def _(spark, sf_dir):
     return writers.graphite_lines(df, prefix="s.")
 
 
+@query(
+    "sink_log_intake",
+    """SELECT event_id, event_type AS message, 'app' AS source, 'web' AS service, 'env:test' AS tags, 'h' || user_id AS hostname, user_id AS kept FROM events""",
+)
+def _(spark, sf_dir):
+    df = _t(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("message"), F.concat(F.lit("h"), "user_id").alias("host"), F.lit("mine").alias("service"), F.col("user_id").alias("kept"))
+    entry = writers.log_intake_entry(df, "app", "web", "env:test")
+    got = F.from_json("entry", "event_id long, message string, ddsource string, service string, ddtags string, hostname string, kept long")
+    return df.select(entry.alias("entry")).select(got.alias("g")).select("g.event_id", "g.message", F.col("g.ddsource").alias("source"), "g.service", F.col("g.ddtags").alias("tags"), "g.hostname", "g.kept")
+
+
 @query("sink_dead_letters", "SELECT event_id, event_id % 7 = 0 AS dead FROM events")
 def _(spark, sf_dir):
     df = _t(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 7 == 0, "{").otherwise(F.col("props")).alias("message"))

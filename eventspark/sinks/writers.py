@@ -7,6 +7,7 @@ function that opens a session once a task and gives a function that sends a list
 from __future__ import annotations
 
 import socket
+import subprocess
 import time
 import urllib.error
 import urllib.request
@@ -185,3 +186,71 @@ def dead_letters(df: DataFrame, tags: Sequence[str]) -> tuple[DataFrame, DataFra
     """Rows without and with any of the failure tags."""
     bad = F.arrays_overlap(F.coalesce("tags", F.array().cast("array<string>")), F.array(*map(F.lit, tags)))
     return df.where(~bad), df.where(bad)
+
+
+def statement(connect: Callable[[], object], text: str, parameters: Sequence[str], batch: int = 500) -> Writer:
+    """A statement with ? for each of the parameters (fields, as text), run for every row over a DB-API connection
+    that each task opens and commits once per batch. A task that runs again repeats its rows, so an upsert is best."""
+
+    def write(df: DataFrame) -> None:
+        known = {f.name: f.dataType for f in df.schema.fields}
+        cells = [as_text(F.col(f"`{p}`"), known[p]) if p in known else F.lit(None).cast("string") for p in parameters]
+
+        def put(rows: Iterable) -> None:
+            connection = connect()
+            try:
+                cursor, held = connection.cursor(), []
+                for row in rows:
+                    held.append(tuple(row["values"]))
+                    if len(held) >= batch:
+                        cursor.executemany(text, held)
+                        connection.commit()
+                        held = []
+                if held:
+                    cursor.executemany(text, held)
+                    connection.commit()
+            finally:
+                connection.close()
+
+        df.select(F.array(*cells).alias("values")).foreachPartition(put)
+
+    return write
+
+
+def log_intake_entry(df: DataFrame, source: str, service: str = "", tags: str = "") -> Column:
+    """A row as JSON for an intake of logs: its fields, and message, ddsource, hostname (of host), the event time, and if
+    given service and ddtags, which go before fields of the same name."""
+
+    def text(name: str) -> Column:
+        return F.coalesce(F.col(f"`{name}`").cast("string"), F.lit("")) if name in df.columns else F.lit("")
+
+    own = {"message": text("message"), "ddsource": F.lit(source), "hostname": text("host")}
+    if "@timestamp" in df.columns:
+        own["timestamp"] = F.date_format("@timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
+    own |= {k: F.lit(v) for k, v in (("service", service), ("ddtags", tags)) if v}
+    rest = [F.col(f"`{c}`").alias(c) for c in df.columns if c not in (*own, "host", "@timestamp", "@version", "@metadata")]
+    return F.to_json(F.struct(*(v.alias(k) for k, v in own.items()), *rest))
+
+
+def log_intake(url: str, key: str, source: str, service_name: str = "", tags: str = "", batch: int = 500, session: Callable[[], Send] | None = None) -> Writer:
+    """Arrays of such entries, posted with the key as a header."""
+    opened = session or http_session(url, joiner=",", headers={"Content-Type": "application/json", "DD-API-KEY": key})
+
+    def arrays() -> Send:
+        send = opened()
+        return lambda texts: send(["[" + ",".join(texts) + "]"])
+
+    return service(arrays, lambda df: log_intake_entry(df, source, service_name, tags), batch)
+
+
+def command(arguments: Sequence[str], form: str | None = None) -> Writer:
+    """A line a row (event JSON, or a template) to the standard input of a command that each task starts; a command
+    that fails fails the task."""
+
+    def open_session() -> Send:
+        def send(texts: list[str]) -> None:
+            subprocess.run(list(arguments), input="".join(t + "\n" for t in texts).encode(), check=True, stdout=subprocess.DEVNULL)
+
+        return send
+
+    return service(open_session, lambda df: template(df, form) if form else encode_json(df), batch=100_000)

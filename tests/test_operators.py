@@ -421,3 +421,28 @@ def test_drop_in_a_branch_reaches_its_rows_only(spark):
     df = spark.range(10).withColumn("x", F.col("id") % 3)
     spec = {"branches": [{"if": "x = 0", "then": [{"use": "mutate", "with": {"replace": {"y": "zero"}}}, {"use": "drop", "if": "id > 3"}]}, {"if": "id > 5", "then": [{"branches": [{"if": "x = 1", "then": [{"use": "drop"}]}]}]}]}
     assert sorted((r.id, r.y) for r in pipeline.step(spec)(df).collect()) == [(0, "zero"), (1, None), (2, None), (3, "zero"), (4, None), (5, None), (8, None)]
+
+
+def test_statement_sink_runs_for_every_row(spark, tmp_path):
+    import sqlite3
+
+    path = str(tmp_path / "db")
+    with sqlite3.connect(path) as db:
+        db.execute("CREATE TABLE t (id TEXT PRIMARY KEY, name TEXT, nowhere TEXT)")
+    df = spark.createDataFrame([(k, f"n{k % 3}" if k % 4 else None) for k in range(20)], "id long, name string").coalesce(1)
+    write = writers.statement(lambda: __import__("sqlite3").connect(path), "INSERT OR REPLACE INTO t VALUES (?, ?, ?)", ["id", "name", "nowhere"], batch=7)
+    write(df)
+    write(df)
+    with sqlite3.connect(path) as db:
+        got = db.execute("SELECT * FROM t ORDER BY CAST(id AS INT)").fetchall()
+    assert got == [(str(k), f"n{k % 3}" if k % 4 else None, None) for k in range(20)]
+
+
+def test_command_and_intake_sinks(spark, tmp_path):
+    out = str(tmp_path / "out")
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "id long, message string").coalesce(1)
+    writers.command(["sh", "-c", f"cat >> {out}"], "%{id}:%{message}")(df)
+    assert open(out).read() == "1:a\n2:b\n"
+    sent = str(tmp_path / "sent")
+    writers.log_intake("", "k", "app", session=lambda: lambda texts: open(sent, "a").write("\n".join(texts)))(df)
+    assert [x["message"] for x in json.loads(open(sent).read())] == ["a", "b"]
