@@ -252,9 +252,30 @@ def mixed_by_hand(rows, weights_of, hashes, budget_ratio, block_tokens, seed=mix
     return out
 
 
-def test_mix_equals_brute_force(spark):
+def mixing_hashes(spark, rows, shares, block_tokens, epochs):
+    """xxhash64, by Spark, of all lists of values that mix() may hash."""
     from pyspark.sql import types as T
 
+    found = {}
+
+    def load(wanted):
+        shapes = {}
+        for w in wanted:
+            shapes.setdefault(tuple("s" if isinstance(x, str) or x is None else "l" for x in w), []).append(w)
+        for shape, values in shapes.items():
+            schema = T.StructType([T.StructField(f"c{k}", T.StringType() if c == "s" else T.LongType() if k else T.IntegerType()) for k, c in enumerate(shape)])
+            df = spark.createDataFrame(values, schema)
+            for w, h in zip(values, df.select(F.xxhash64(*df.columns).alias("h")).collect(), strict=True):
+                found[w] = h.h
+
+    load({(mixing.SEED, i, t) for i, _, t in rows})
+    load({(mixing.SEED + 2, found[mixing.SEED, i, t], e) for i, _, t in rows for e in range(epochs)})
+    blocks = {s: -(-n // block_tokens) for s, n in shares.items() if n}
+    load({(mixing.SEED + 1, "" if s is None else f"={s}", b, e) for s, n in blocks.items() for b in range(n) for e in range(epochs)})
+    return found
+
+
+def test_mix_equals_brute_force(spark):
     rng = random.Random(21)
     rows = [(i, rng.choice(["big"] * 8 + ["small", "\0", "", None]), " ".join(["w"] * rng.randrange(9))) for i in range(700)] + [(9001, "big", None)]
     rows += [rows[3], rows[3], (5000, "small", "word " * 30_000)]
@@ -264,33 +285,12 @@ def test_mix_equals_brute_force(spark):
         shares[s] += len((t or "").split())
     total = sum(shares.values())
 
-    class Hashes(dict):
-        """xxhash64 of a list of values, by Spark."""
-
-        def load(self, wanted):
-            def kind(x):
-                return T.StringType() if isinstance(x, str) or x is None else T.IntegerType() if isinstance(x, bool) else T.LongType()
-
-            shapes = {}
-            for w in wanted:
-                shapes.setdefault(tuple("s" if isinstance(x, str) or x is None else "l" for x in w), []).append(w)
-            for shape, values in shapes.items():
-                schema = T.StructType([T.StructField(f"c{k}", T.StringType() if c == "s" else T.LongType() if k else T.IntegerType()) for k, c in enumerate(shape)])
-                df = spark.createDataFrame(values, schema)
-                for w, h in zip(values, df.select(F.xxhash64(*df.columns).alias("h")).collect(), strict=True):
-                    self[w] = h.h
-
     for options in ({"entropy": 0.9, "max_repeats": 3.0, "budget_ratio": 2.0, "block_tokens": 100}, {"entropy": None, "max_repeats": 1.5, "budget_ratio": 0.7, "block_tokens": 40}, {"entropy": 1.0, "max_repeats": None, "budget_ratio": 5.5, "block_tokens": 10**6}):
         out = mixing.mix(docs, **options).collect()
         alpha = mixing.exponent(spark.createDataFrame([(n / total,) for n in shares.values() if n], "share double"), options["entropy"], options["max_repeats"], options["budget_ratio"])
         z = sum((n / total) ** alpha for n in shares.values() if n)
         weights_of = {s: (n / total) ** alpha / z for s, n in shares.items() if n}
-        hashes = Hashes()
-        hashes.load({(mixing.SEED, i, t) for i, _, t in rows})
-        epochs = range(max((r.epoch for r in out), default=0) + 3)
-        hashes.load({(mixing.SEED + 2, hashes[mixing.SEED, i, t], e) for i, _, t in rows for e in epochs})
-        blocks = {s: -(-n // options["block_tokens"]) for s, n in shares.items() if n}
-        hashes.load({(mixing.SEED + 1, "" if s is None else f"={s}", b, e) for s, n in blocks.items() for b in range(n) for e in epochs})
+        hashes = mixing_hashes(spark, rows, shares, options["block_tokens"], max((r.epoch for r in out), default=0) + 3)
         wanted = mixed_by_hand(rows, weights_of, hashes, options["budget_ratio"], options["block_tokens"])
         assert sorted(map(str, ((r.doc_id, r.source, r.epoch, r.order_block, r.order_key) for r in out))) == sorted(map(str, wanted))
         assert all(r.weight == pytest.approx(weights_of[r.source]) and r["n_tokens"] == len(r.text.split()) for r in out)
@@ -700,6 +700,56 @@ def test_lines_that_repeat_in_copies_only_stay(spark):
 
 # the pipeline
 
+def test_pipeline_equals_brute_force(spark, sf_dir):
+    import corpus_pipeline
+
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = {r.doc_id: r for r in table.collect()}
+    bench = [(str(r.item_id), r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    docs, now = table, {i: r.text for i, r in rows.items()}
+
+    def spark_hashes(texts):
+        df = spark.createDataFrame([(i, t) for i, t in texts.items()], "i long, t string")
+        return {r.i: r.h for r in df.select("i", F.xxhash64("t").alias("h")).collect()}
+
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, sf_dir).cache()
+        if name == "language_id":
+            model = language.train(table, ~language.held_out(F.col("doc_id"), 3))
+            names, _, fits = model.predict(list(now.values()))
+            now = {i: t for (i, t), n, f in zip(now.items(), names, fits, strict=True) if n != "und" and f}
+        elif name == "line_dedup":
+            h = spark_hashes(now)
+            now = dict(zip(now, brute_lines(list(now.values()), [h[i] for i in now]), strict=True))
+        elif name == "near_dedup":
+            ids = sorted(now)
+            root, pairs = list(range(len(ids))), brute_similar([now[i] for i in ids])
+            for _ in ids:
+                for x, y in pairs:
+                    root[x] = root[y] = min(root[x], root[y])
+            now = {i: now[i] for k, i in enumerate(ids) if root[k] == k}
+        elif name == "decontamination":
+            words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
+            items = [(n, words(t)) for n, t in bench]
+            hit = {i: len(brute_hits(words(t), items, 13)[0]) for i, t in now.items()}
+            now = {i: t for i, t in now.items() if not (hit[i] and 20 * hit[i] >= len(words(t)))}
+        else:
+            mine = [(i, rows[i].source, t) for i, t in now.items()]
+            shares = Counter()
+            for _, s, t in mine:
+                shares[s] += len(re.findall(BREAKS, t or ""))
+            total = sum(shares.values())
+            alpha = mixing.exponent(spark.createDataFrame([(n / total,) for n in shares.values() if n], "share double"), 0.95, 4.0, mixing.BUDGET_RATIO)
+            z = sum((n / total) ** alpha for n in shares.values() if n)
+            weights_of = {s: (n / total) ** alpha / z for s, n in shares.items() if n}
+            wanted = mixed_by_hand(mine, weights_of, mixing_hashes(spark, mine, shares, mixing.BLOCK_TOKENS, 8), mixing.BUDGET_RATIO, mixing.BLOCK_TOKENS)
+            assert sorted(map(str, ((r.doc_id, r.source, r.epoch, r.order_block, r.order_key) for r in docs.collect()))) == sorted(map(str, wanted))
+            assert {r.doc_id: r.text for r in docs.collect()}.items() <= now.items()
+            continue
+        assert {r.doc_id: r.text for r in docs.collect()} == now, name
+        assert docs.columns == table.columns
+
+
 def test_pipeline_stages_on_edges(spark, sf_dir, edge_texts):
     import corpus_pipeline
 
