@@ -134,13 +134,14 @@ def mix(docs: DataFrame, budget_ratio: float = BUDGET_RATIO, entropy: float | No
     """
     named = docs.drop(*USES).withColumns({"__s": _source(source), "__h": F.xxhash64(F.lit(seed), key, text)})
     n = word_count(F.col(text))
-    counted = written(named.select("__s", "__h", n.alias("n")).where("n > 0"), "tokens")
-    made = plan(counted, budget_ratio, entropy, max_repeats, block_tokens, seed)
+    counted = written(named.select("__s", "__h", n.alias("n")), "tokens")
+    made = plan(counted.where("n > 0"), budget_ratio, entropy, max_repeats, block_tokens, seed)
     dropped(counted)
     if made is None:
         none = {"n_tokens": "long", "weight": "double", "epoch": "long", "order_block": "long", "order_key": "long"}
         return docs.drop(*USES).limit(0).withColumns({c: F.lit(None).cast(t) for c, t in none.items()})
-    used = named.withColumn("n_tokens", n).where("n_tokens > 0").join(made.withColumnsRenamed({c: f"__{c}" for c in ("blocks", "epochs", "cut", "key")}), "__s")
+    # made by a generator, the count is not made again for the filter
+    used = named.select("*", F.explode(F.array(n)).alias("n_tokens")).where("n_tokens > 0").join(made.withColumnsRenamed({c: f"__{c}" for c in ("blocks", "epochs", "cut", "key")}), "__s")
     block, epochs = F.pmod("__h", "__blocks"), F.col("__epochs")
     order = _block_order(block, epochs, seed)
     partly = (order < F.col("__cut")) | (order == F.col("__cut")) & (_key_order(epochs, seed) <= F.col("__key"))
