@@ -41,7 +41,11 @@ def fingerprint(text: bytes | None, shingle: int = 3, seed: int = SEED) -> int:
     starts = np.concatenate(([0], ends[: -shingle])).tolist()
     stops = (ends[shingle - 1 :] - 1).tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[s:e], seed) for s, e in zip(starts, stops, strict=True)), np.uint64, len(starts))
+    return majority(np.fromiter((digest(joined[s:e], seed) for s, e in zip(starts, stops, strict=True)), np.uint64, len(starts)))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of some 64-bit hashes; zero without any."""
     counts = np.zeros(64, np.int64)
     for k in range(0, len(hashes), 1 << 16):
         bits = np.unpackbits(hashes[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -68,13 +72,22 @@ def segment_counts(fp: Column) -> Column:
     return sum((F.shiftrightunsigned(fp, k).bitwiseAND(ones) for k in (1, 2, 3)), fp.bitwiseAND(ones))
 
 
-def links(fps: DataFrame) -> DataFrame:
-    """a, b: each fingerprint of a linked group with the group's smallest. fps: distinct, column fp."""
+def links(fps: DataFrame, parts: int = 1) -> DataFrame:
+    """a, b: each fingerprint of a linked group with the group's smallest. fps: distinct, column fp.
+
+    With parts, a divisor of 64, the grid is made for each of so many parts of the fingerprints, and what links is one
+    part that differs in two bits or fewer: any two fingerprints that differ in 3 * parts - 1 bits or fewer have one.
+    """
     # one row becomes 65, so few rows are dealt to all tasks first
     fps = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
-    # bit 64 stands for the pattern itself
+    # bit 64 stands for the pattern itself, and those after it for the patterns of further parts
     flipped = F.when(F.col("bit") < 64, F.col("fp").bitwiseXOR(F.expr("shiftleft(1L, bit)"))).otherwise(F.col("fp"))
-    near = fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(64))).alias("bit")).select("fp", flipped.alias("pattern"))
+    if parts > 1:
+        width = 64 // parts
+        part = F.when(F.col("bit") < 64, F.floor(F.col("bit") / width)).otherwise(F.col("bit") - 64).cast("int")
+        own = F.call_function("shiftrightunsigned", flipped, part * width).bitwiseAND(F.lit((1 << width) - 1))
+        flipped = own.bitwiseOR(F.call_function("shiftleft", part.cast("long"), F.lit(width)))
+    near = fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63 + parts))).alias("bit")).select("fp", flipped.alias("pattern"))
     near = near.withColumn("cell", segment_counts(F.col("pattern")))
     live = near.groupBy("cell").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("cell")
     met = near.join(live, "cell").select("fp", "pattern")

@@ -150,6 +150,32 @@ def test_links_and_components(spark):
     assert [mine.index(x) for x in mine] == [wanted.index(x) for x in wanted]
 
 
+def halves_apart(x, y):
+    """The lesser of the bits that differ in the low and in the high half."""
+    return min(((x ^ y) >> k & (1 << 32) - 1).bit_count() for k in (0, 32))
+
+
+def test_links_of_halves(spark):
+    rng = random.Random(5)
+    fps = [rng.getrandbits(64) for _ in range(30)] + [0, 1 << 32, (1 << 64) - 1]
+    for _ in range(120):
+        fps.append(fps[rng.randrange(len(fps))] ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(9))))
+    fps = list(dict.fromkeys(fps))
+    signed = [x - (1 << 64) if x >> 63 else x for x in fps]
+    edges = simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long"), 2)
+    assert all(halves_apart(r.a, r.b) <= 2 for r in edges.collect())
+    roots = {r.node: r.root for r in simhash.components(edges).collect()}
+    near = [(i, j) for i in range(len(fps)) for j in range(i) if halves_apart(fps[i], fps[j]) <= 2]
+    wanted = list(range(len(fps)))
+    for _ in fps:
+        for i, j in near:
+            wanted[i] = wanted[j] = min(wanted[i], wanted[j])
+    mine = [roots.get(x, x) for x in signed]
+    assert [mine.index(x) for x in mine] == wanted
+    far = [(i, j) for i, j in near if (fps[i] ^ fps[j]).bit_count() > 2]
+    assert far and all(mine[i] == mine[j] for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 5)
+
+
 def test_simhash_on_edges(spark, edge_texts):
     out = simhash.grouped(documents(spark, edge_texts)).orderBy("doc_id").collect()
     fps = [brute_fingerprint(t) for t in edge_texts]
@@ -801,6 +827,40 @@ def test_near_copies_of_the_pipeline(spark, sf_dir, edge_texts, monkeypatch):
     assert shingles.grouped(docs.limit(0)).count() == 0
 
 
+def test_near_copies_of_the_pipeline_come_from_fingerprints(spark, sf_dir, monkeypatch):
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    texts = []
+    for _ in range(10):
+        texts.append(" ".join(f"w{rng.randrange(2000)}" for _ in range(400)))
+        for _ in range(4):
+            w = texts[-1].split(" ")
+            w[rng.randrange(len(w))] = w[rng.randrange(len(w))] = f"w{rng.randrange(2000)}"
+            texts.append(" ".join(w))
+    seen, verified = [], shingles._verified
+
+    def spy(pairs, *rest):
+        found = verified(pairs, *rest)
+        seen.append([[(r.a, r.b) for r in df.collect()] for df in (pairs, found)])
+        return found
+
+    monkeypatch.setattr(shingles, "_verified", spy)
+    kept = corpus_pipeline.near_dedup(spark, documents(spark, texts), sf_dir).collect()
+    assert sorted(r.doc_id for r in kept) == list(range(0, 50, 5))
+    sets = {shingles.set_hash(x): x for x in shingles.shingle_sets([t.encode() for t in texts])}
+    fps = {h: shingles.fingerprints(x) for h, x in sets.items()}
+    for h, x in sets.items():
+        assert fps[h][0] == sum(1 << b for b in range(64) if 2 * sum(v >> b & 1 for v in x.tolist()) > len(x))
+    candidates, links = seen[0]
+    assert all(min(map(halves_apart, fps[a], fps[b])) <= 2 for a, b in candidates)
+    root = {h: h for h in sets}
+    for _ in sets:
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    assert len(set(root.values())) <= 12  # ten groups; the second step joins what fingerprints leave apart
+
+
 def test_katz_discounts_bigrams_seen_once(spark, tmp_path):
     rng = random.Random(14)
     texts = [" ".join(rng.choice("the of a b c d".split() + [f"w{rng.randrange(200)}"]) for _ in range(rng.randrange(60))) for _ in range(150)] + [None, ""]
