@@ -10,19 +10,22 @@ to the backoff; op8 takes all of them (least = 1).
              = alpha(v) * P(w)                        otherwise
     P(w)     = d(c(w)) * c(w) / N, or the unseen mass if c(w) = 0
 
-How it runs: words are 64-bit hashes. Each task packs the bigrams of some million tokens into columnar
-blocks, one for each bucket of contexts, with equal bigrams of a document pre-aggregated; a bucket holds
-all of the bigrams of its contexts and a bounded number of tokens, as the number of buckets grows with
-the corpus. Contexts too frequent for one bucket are spread over all of them by the next word. One pass
-over the blocks counts bigrams and names each bucket's next words, which are joined with the unigram table
-to learn P(w); only the frequent contexts' bigrams leave their bucket, for the contexts' weights. A second
-pass counts again, where blocks and words are together by bucket, and the log probability of a document is
-
-    sum over words of log P(w) + sum over contexts of log alpha(v)
-    + sum over its bigrams with an entry of (log P(w | v) - log alpha(v) - log P(w))
-
-so that no token has to travel to two tables. What a bucket adds to the documents of a chunk goes back to
-the chunk as packed arrays, in one row a block, and is added up there.
+How it runs: words are 64-bit hashes. One pass counts words. A second packs the bigrams of some million
+tokens at a time into columnar blocks, one for each bucket of contexts, with equal bigrams of a document
+pre-aggregated; a bucket holds all of the bigrams of its contexts and a bounded number of tokens, as the
+number of buckets grows with the corpus. Contexts too frequent for one bucket are spread over all of them by
+the next word. Blocks are made, sent and read once: a bucket knows c(v w) and c(v) of all its events, which is
+all that words' base scores and listed bigrams ask for but the discounts; how many bigrams of each discounted
+count a document has is kept beside its sums until the discounts are known. Left open are events without a
+listed bigram. They stay in the bucket, packed with the bigrams of their contexts; the words of both are joined
+with the unigram table to learn P(w), frequent contexts' bigrams leave their bucket for the contexts' weights,
+and then the open events are settled. So the log probability of a document is
+
+    sum over listed events of log(c(v w) / (c(v) + 1/2)) + sum over r <= K of (events of count r) * log d(r)
+    + sum over open events of (log alpha(v) + log P(w))
+
+and no token has to travel to two tables. What a bucket adds to the documents of a chunk goes back to the chunk
+as packed arrays, in one row a block, and is added up there.
 
 Edge cases: null and empty texts hold the end token only; without training documents every probability
 is the unseen mass, one; rows that repeat an id and a text get the same result each; a null id is never
@@ -32,18 +35,16 @@ held out; an empty table gives an empty result.
 from __future__ import annotations
 
 import math
-from collections import defaultdict
-from itertools import count
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Carried, column_bytes, held_out, lower_words, sliced, table, word_count, written
+from .common import Carried, column_bytes, held_out, portions, sliced, table, tokenized, written
 
 K = 5  # counts up to here are discounted
 CHUNK_TOKENS = 1_200_000
@@ -52,11 +53,7 @@ BUCKET_TOKENS = 2_500_000
 START, END = b"\n", b"\n\n"
 
 
-def word_hash(word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word)
-
-
-START_HASH, END_HASH = (np.uint64(word_hash(x)) for x in (START, END))
+START_HASH, END_HASH = (np.uint64(xxhash.xxh64_intdigest(x)) for x in (START, END))
 
 
 def pair_hash(v: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -112,77 +109,123 @@ def _unpack(data: bytes, kind, ascending: bool = False) -> np.ndarray:
 
 
 #: A block: places of its documents in the chunk, whether they are for training, contexts and how many
-#: events each has, next words, and each event's word, document and count. One more row a chunk has only
-#: the keys of its documents.
-BLOCK = ["ds", "train", "vs", "vn", "ws", "wi", "di", "cn"]
+#: bigrams each has, next words, each bigram's word and how many documents have it, and these documents and
+#: their counts. One more row a chunk has only the keys of its documents and their numbers of events.
+BLOCK = {"ds": np.uint32, "train": np.uint8, "vs": np.uint64, "vn": np.uint32, "ws": np.uint64, "wi": np.uint32, "pn": np.uint32, "di": np.uint32, "cn": np.uint32}
+ASCENDING = {"ds", "vs", "ws"}
+
+
+def _distinct(x: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """np.unique with the inverse, of integers below size."""
+    if size > 16 * len(x):
+        return np.unique(x, return_inverse=True)
+    place = np.zeros(size, np.int64)
+    place[x] = 1
+    found = np.flatnonzero(place)
+    place[found] = np.arange(len(found))
+    return found, place[x]
+
+
+def _runs(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin, and the end of the last."""
+    return np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1], [True])))
 
 
 class _Chunk:
     """Bigrams of some documents, to be dealt into blocks."""
 
     def __init__(self) -> None:
-        self.ids: dict[bytes, int] = defaultdict(count().__next__)
-        self.start, self.end = self.ids[START], self.ids[END]
-        self.first: list[np.ndarray] = []
-        self.second: list[np.ndarray] = []
+        self.codes: list[np.ndarray] = []
         self.docs: list[int] = []
         self.train: list[bool] = []
-        self.sizes: list[int] = []
         self.size = 0
 
     def add(self, key: int, train: bool, codes: np.ndarray) -> None:
-        """codes: the start, words and the end of a text, or an overlapping stretch of these."""
-        self.first.append(codes[:-1])
-        self.second.append(codes[1:])
+        """codes: hashes of the start, words and the end of a text, or an overlapping stretch of these."""
+        self.codes.append(codes)
         self.docs.append(key)
         self.train.append(train)
-        self.sizes.append(len(codes) - 1)
         self.size += len(codes) - 1
 
+    def sizes(self) -> np.ndarray:
+        return np.fromiter(map(len, self.codes), np.int64, len(self.codes)) - 1
+
     def blocks(self, buckets: int, hot: np.ndarray):
         """(bucket, packed columns of BLOCK)"""
-        hashes = np.fromiter((word_hash(w) for w in self.ids), np.uint64, len(self.ids))
-        order = np.argsort(hashes)
-        rank = np.empty(len(order), np.uint64)
-        rank[order] = np.arange(len(order), dtype=np.uint64)
-        hashes = hashes[order]
+        sizes = self.sizes()
+        found = pa.array(np.concatenate(self.codes)).dictionary_encode()
+        self.codes = []  # no longer asked for
+        ids, hashes = found.indices.to_numpy(), found.dictionary.to_numpy()
+        inside = np.ones(len(ids) - 1, bool)
+        inside[np.cumsum(sizes + 1)[:-1] - 1] = False
+        # next words are ranked by hash, contexts by bucket first; the frequent ones, which have many, come last
+        is_hot = np.isin(hashes, hot)
+        bucket = np.where(is_hot, np.int64(buckets), (hashes % np.uint64(buckets)).astype(np.int64))
+        by_hash, by_bucket = np.argsort(hashes), np.lexsort((hashes, bucket))
+        rank, context_rank = np.empty((2, len(hashes)), np.uint64)
+        rank[by_hash] = context_rank[by_bucket] = np.arange(len(hashes), dtype=np.uint64)
         wide, deep = np.uint64(len(hashes).bit_length()), np.uint64(len(self.docs).bit_length())
-        v, w = rank[np.concatenate(self.first)], rank[np.concatenate(self.second)]
-        d = np.repeat(np.arange(len(self.docs), dtype=np.uint64), self.sizes)
-        key = np.sort((((v << wide) | w) << deep) | d)
-        at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        cn = np.diff(np.append(at, len(key))).astype(np.uint32)
-        key = key[at]
-        d = (key & ((np.uint64(1) << deep) - np.uint64(1))).astype(np.int64)
-        w = ((key >> deep) & ((np.uint64(1) << wide) - np.uint64(1))).astype(np.int64)
-        v = (key >> (deep + wide)).astype(np.int64)
-        is_hot = np.isin(hashes, hot)[v]
-        home = hashes[v] % np.uint64(buckets)
-        home[is_hot] = pair_hash(hashes[v[is_hot]], hashes[w[is_hot]]) % np.uint64(buckets)
-        home = home.astype(np.int64)
+        key = context_rank[ids[:-1][inside]]
+        key <<= wide
+        key |= rank[ids[1:][inside]]
+        key <<= deep
+        key |= np.repeat(np.arange(len(self.docs), dtype=np.uint64), sizes)
+        del found, ids, inside
+        key.sort()
+        at = _runs(key)
+        cn = np.diff(at).astype(np.uint32)
+        key = key[at[:-1]]
+        d = (key & ((np.uint64(1) << deep) - np.uint64(1))).astype(np.int32)
+        key >>= deep
+        at = _runs(key)
+        pn = np.diff(at)
+        key = key[at[:-1]]
+        w = (key & ((np.uint64(1) << wide) - np.uint64(1))).astype(np.int32)
+        v = (key >> wide).astype(np.int32)
+        del key
+        vh, wh = hashes[by_bucket], hashes[by_hash]
+        home = bucket[by_bucket][v]
+        spread = int(np.searchsorted(home, buckets))
+        home[spread:] = (pair_hash(vh[v[spread:]], wh[w[spread:]]) % np.uint64(buckets)).astype(np.int64)
         by = np.argsort(home, kind="stable")
-        edges = np.flatnonzero(np.concatenate(([True], home[by][1:] != home[by][:-1], [True])))
+        home, first, events = home[by], at[:-1][by], pn[by]
+        edges, ends = _runs(home), np.cumsum(events)
         train = np.array(self.train, np.uint8)
         for s, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            part = by[s:e]
-            vs, vn = np.unique(v[part], return_counts=True)
-            ws, wi = np.unique(w[part], return_inverse=True)
-            ds, di = np.unique(d[part], return_inverse=True)
-            yield int(home[part[0]]), [_pack(ds.astype(np.uint32)), _pack(train[ds]), _pack(hashes[vs], True), _pack(vn.astype(np.uint32)), _pack(hashes[ws], True), _pack(wi.astype(np.uint32)), _pack(di.astype(np.uint32)), _pack(cn[part])]
+            part, many = by[s:e], events[s:e]
+            begin = ends[s:e] - many - (ends[s] - many[0])
+            event = np.repeat(first[s:e] - begin, many) + np.arange(int(many.sum()))
+            vat = _runs(v[part])
+            ws, wi = _distinct(w[part], len(hashes))
+            ds, di = _distinct(d[event], len(self.docs))
+            made = {"ds": ds, "train": train[ds], "vs": vh[v[part][vat[:-1]]], "vn": np.diff(vat), "ws": wh[ws], "wi": wi, "pn": many, "di": di, "cn": cn[event]}
+            yield int(home[s]), [_pack(made[c].astype(t), c in ASCENDING) for c, t in BLOCK.items()]
+
+
+def _texts(batches):
+    """key, train, and the hashes of the start, words and the end of each text."""
+    for batch in sliced(batches):
+        keys, train, texts = batch.column("key").to_pylist(), batch.column("train").to_pylist(), column_bytes(batch, "text")
+        for a, b in portions(texts):
+            found = tokenized(texts[a:b], lower=True)
+            starts = found.rows + 2 * np.arange(b - a + 1)
+            codes = np.empty(int(starts[-1]), np.uint64)
+            codes[np.arange(len(found.hash)) + np.repeat(2 * np.arange(b - a) + 1, np.diff(found.rows))] = found.hash
+            codes[starts[:-1]], codes[starts[1:] - 1] = START_HASH, END_HASH
+            starts = starts.tolist()
+            for k in range(a, b):
+                yield keys[k], train[k], codes[starts[k - a] : starts[k - a + 1]]
 
 
 def _chunks(batches, limit: int):
     """Full chunks of the documents in batches of key, train, text."""
     chunk = _Chunk()
-    for batch in sliced(batches):
-        for key, train, text in zip(batch.column("key").to_pylist(), batch.column("train").to_pylist(), column_bytes(batch, "text"), strict=True):
-            found = [START, *lower_words(text), END]
-            for k in range(0, len(found) - 1, limit):
-                part = found[k : k + limit + 1]
-                chunk.add(key, train, np.fromiter(map(chunk.ids.__getitem__, part), np.int64, len(part)))
-                if chunk.size >= limit:
-                    yield chunk
-                    chunk = _Chunk()
+    for key, train, codes in _texts(batches):
+        for k in range(0, len(codes) - 1, limit):
+            chunk.add(key, train, codes[k : k + limit + 1])
+            if chunk.size >= limit:
+                yield chunk
+                chunk = _Chunk()
     if chunk.size:
         yield chunk
 
@@ -195,20 +238,25 @@ def _signed(a: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(a, np.uint64).view(np.int64))
 
 
-def _unsigned(column) -> np.ndarray:
-    return np.ascontiguousarray(column.to_numpy(zero_copy_only=False) if isinstance(column, pa.Array) else column.to_numpy(), np.int64).view(np.uint64)
-
-
 def unigram_counts(keyed: DataFrame) -> DataFrame:
     """h, n: each training token's hash and count, the end included."""
 
+    def counts(codes):
+        found = pa.array(np.concatenate(codes)).value_counts()
+        hashes, n = (found.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+        word = hashes != START_HASH
+        return pa.RecordBatch.from_arrays([_signed(hashes[word]), pa.array(n[word])], names=["h", "n"])
+
     def run(batches):
-        for chunk in _chunks(batches, CHUNK_TOKENS):
-            codes = [c for c, t in zip(chunk.second, chunk.train, strict=True) if t]
-            if codes:
-                n = np.bincount(np.concatenate(codes), minlength=len(chunk.ids))
-                hashes = np.fromiter((word_hash(w) for w in chunk.ids), np.uint64, len(chunk.ids))
-                yield pa.RecordBatch.from_arrays([_signed(hashes[n > 0]), pa.array(n[n > 0])], names=["h", "n"])
+        codes, size = [], 0
+        for _, _, text in _texts(batches):
+            codes.append(text)
+            size += len(text)
+            if size >= CHUNK_TOKENS:
+                yield counts(codes)
+                codes, size = [], 0
+        if codes:
+            yield counts(codes)
 
     return keyed.where("train").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
@@ -218,64 +266,114 @@ def _blocks(keyed: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
         for chunk in _chunks(batches, CHUNK_TOKENS):
             keys = np.array(chunk.docs, np.int64)
             name = xxhash.xxh64_intdigest(keys.tobytes()) - (1 << 63)  # the same if the task runs again
-            rows = [(name % buckets, _pack(keys), [None] * len(BLOCK)), *((b, None, packed) for b, packed in chunk.blocks(buckets, hot))]
-            for bucket, packed_keys, packed in rows:
+            rows = [(name % buckets, _pack(np.concatenate((keys, chunk.sizes()))), [None] * len(BLOCK))]
+            for bucket, packed_keys, packed in chain(rows, ((b, None, packed) for b, packed in chunk.blocks(buckets, hot))):
                 cells = [pa.array([bucket], pa.int32()), pa.array([name], pa.int64()), *(pa.array([x], pa.binary()) for x in (packed_keys, *packed))]
                 yield pa.RecordBatch.from_arrays(cells, names=["bucket", "chunk", "keys", *BLOCK])
 
     return keyed.mapInArrow(run, "bucket int, chunk long, keys binary, " + ", ".join(f"{c} binary" for c in BLOCK))
 
 
-def _events(blocks: pa.Table):
-    """chunk, places of documents, train, context hash, next word's hash, doc index and count of each block's bigrams."""
-    for chunk, *row in zip(*(blocks.column(c).to_pylist() for c in ("chunk", *BLOCK)), strict=True):
-        if row[0] is None:
+#: What a bucket leaves open: words; contexts of open events, with their counts, places among the frequent ones
+#: (or -1) and numbers of listed bigrams; these bigrams' words and counts; open events' contexts, words, documents
+#: and counts; the documents' chunks and places there. Frequent contexts' bigrams come last.
+OPEN = {"words": np.uint64, "c": np.int64, "hot": np.int32, "pm": np.uint32, "pw": np.uint32, "pn": np.uint32, "ev": np.uint32, "ew": np.uint32, "ed": np.uint32, "en": np.uint32, "chunk": np.int64, "ds": np.uint32, "hv": np.uint64, "hw": np.uint64, "hn": np.int64}
+LEARNED = "bucket int, seen array<long>, open array<binary>, chunk long, keys binary, sums array<binary>"
+SUMS = [np.uint32, np.uint32, np.float64, np.float64, np.uint32]  # document, unknown words, base, score, events of each discounted count
+
+
+def _opened(row: list[bytes], *names: str) -> list[np.ndarray]:
+    return [_unpack(x, t, c == "words") for x, (c, t) in zip(row, OPEN.items(), strict=True) if c in names]
+
+
+def _learn(blocks: pa.Table, hot: np.ndarray, hot_counts: np.ndarray, bottom: float, least: int) -> pa.Table:
+    """All that a bucket knows about its documents: sums for their chunks, and what is open. hot: the frequent contexts;
+    bottom: the base scores' denominator."""
+    out, chunks, events = [], [], []
+    cols: dict[str, list[np.ndarray]] = {k: [] for k in ("vs", "vn", "w", "key", "taught")}
+    for chunk, keys, *row in zip(*(blocks.column(c).to_pylist() for c in ("chunk", "keys", *BLOCK)), strict=True):
+        if keys is not None:
+            out.append((None, None, None, chunk, keys, None))
             continue
-        ds, train, vs, vn, ws, wi, di, cn = (_unpack(x, t, up) for x, t, up in zip(row, (np.uint32, np.uint8, np.uint64, np.uint32, np.uint64, np.uint32, np.uint32, np.uint32), (0, 0, 1, 0, 1, 0, 0, 0), strict=True))
-        yield chunk, ds, train, np.repeat(vs, vn), ws[wi], di, cn
-
-
-def _added(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys, a place of each, and the sums of their values."""
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    at = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    return keys[at], order[at], np.add.reduceat(values[order], at)
-
-
-def _pairs(blocks: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """v, w, n of the bucket's training bigrams."""
-    parts = []
-    for _, _, train, v, w, di, cn in _events(blocks):
-        on = train[di] > 0
-        if on.any():
-            v, w = v[on], w[on]
-            _, at, n = _added(pair_hash(v, w), cn[on].astype(np.int64))
-            parts.append((v[at], w[at], n))
-    v, w, n = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    if len(v):
-        _, at, n = _added(pair_hash(v, w), n)
-        v, w = v[at], w[at]
-    return v, w, n
-
-
-def _count_pairs(blocks: pa.Table, hot: np.ndarray, least: int) -> pa.Table:
-    """The next words w of bigrams seen least times or more, without v; v, w, n of those of frequent contexts;
-    rows without w tell how many bigrams were seen v times."""
-    v, w, n = _pairs(blocks)
-    bucket = blocks.column("bucket")[0].as_py()
-    seen = np.bincount(np.minimum(n, K + 2), minlength=K + 3)[1 : K + 2]
-    v, w, n = (x[n >= least] for x in (v, w, n))
-    own, is_hot = np.unique(w), np.isin(v, hot)
-    size = len(own) + int(is_hot.sum())
-    return pa.table(
-        {
-            "bucket": pa.array([bucket] * (size + K + 1), pa.int32()),
-            "v": pa.concat_arrays([pa.nulls(len(own), pa.int64()), _signed(v[is_hot]), pa.array(range(1, K + 2), pa.int64())]),
-            "w": pa.concat_arrays([_signed(own), _signed(w[is_hot]), pa.nulls(K + 1, pa.int64())]),
-            "n": pa.concat_arrays([pa.nulls(len(own), pa.int64()), pa.array(n[is_hot], pa.int64()), pa.array(seen, pa.int64())]),
-        }
-    )
+        ds, train, vs, vn, ws, wi, pn, di, cn = (_unpack(x, t, c in ASCENDING) for x, (c, t) in zip(row, BLOCK.items(), strict=True))
+        w = ws[wi]
+        taught = np.add.reduceat(cn * train[di], np.cumsum(pn, dtype=np.int64) - pn, dtype=np.uint32)
+        for k, x in zip(cols, (vs, vn, w, pair_hash(np.repeat(vs, vn), w), taught), strict=True):
+            cols[k].append(x)
+        chunks.append(chunk)
+        events.append((ds, pn, di, cn))
+    if chunks:
+        seen, opened, sums = _learn_events(*(np.concatenate(cols.pop(k)) for k in list(cols)), chunks, events, hot, hot_counts, bottom, least)
+        out += [(blocks.column("bucket")[0].as_py(), seen, opened, None, None, None), *((None, None, None, chunk, None, x) for chunk, x in zip(chunks, sums, strict=True))]
+    types = (pa.int32(), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.int64(), pa.binary(), pa.list_(pa.binary()))
+    return pa.table({c: pa.array(list(x), t) for c, x, t in zip(("bucket", "seen", "open", "chunk", "keys", "sums"), zip(*out, strict=True), types, strict=True)})
+
+
+def _learn_events(vs: np.ndarray, vn: np.ndarray, w: np.ndarray, key: np.ndarray, taught: np.ndarray, chunks: list[int], events: list[tuple], hot: np.ndarray, hot_counts: np.ndarray, bottom: float, least: int):
+    """How many bigrams were seen 1, 2, ... K + 1 times; the columns of OPEN; and for each block those of SUMS."""
+    # bigrams of blocks to bigrams of the bucket
+    order = np.argsort(key)
+    at = _runs(key[order])
+    n = np.add.reduceat(taught[order], at[:-1], dtype=np.int64)
+    here = np.empty(len(order), np.int64)
+    here[order] = np.repeat(n, np.diff(at))
+    first = order[at[:-1]]
+    del key, order, at
+    names, context = np.unique(vs, return_inverse=True)
+    context = np.repeat(context.astype(np.int32), vn)
+    c = np.bincount(context, taught, len(names)).astype(np.int64)
+    del vs, vn, taught
+    hot_at, is_hot = _find(hot, names)
+    c[is_hot] = hot_counts[hot_at[is_hot]]
+    said = names != START_HASH
+    base, new = np.where(said, np.log10((c + 0.5) / bottom), 0.0), said & (c == 0)
+
+    # block by block, as there are more events than anything else
+    sums, left, done, before = [], [], 0, 0
+    for ds, pn, di, cn in events:
+        many, size = len(pn), len(ds)
+        own, r = context[done : done + many], here[done : done + many]
+        listed = r >= least
+        part = np.where(listed, np.log10(np.maximum(r, 1) / (c[own] + 0.5)), 0.0)
+        few = np.bincount(di * np.int64(K + 1) + np.repeat(np.where(listed & (r <= K), r, 0), pn), cn, size * (K + 1)).reshape(size, K + 1)[:, 1:]
+        strange = np.flatnonzero(np.repeat(new[own], pn))
+        found = (np.bincount(di[strange], cn[strange], size).astype(np.uint32), np.bincount(di, cn * np.repeat(base[own], pn), size), np.bincount(di, cn * np.repeat(part, pn), size), few.astype(np.uint32).ravel())
+        sums.append([_pack(ds, True), *map(_pack, found)])
+        rest = np.flatnonzero(np.repeat(~listed, pn))
+        left.append((np.repeat(np.arange(done, done + many), pn)[rest], di[rest].astype(np.int64) + before, cn[rest]))
+        done, before = done + many, before + size
+
+    run, place, en = (np.concatenate(x) for x in zip(*left, strict=True))
+    asked, ev = np.unique(context[run], return_inverse=True)
+    number = np.full(len(names), -1)
+    number[asked] = np.arange(len(asked))
+    owner, lists = context[first], n >= least
+    own = np.flatnonzero(lists & (number[owner] >= 0) & ~is_hot[owner])
+    own = own[np.argsort(owner[own], kind="stable")]
+    words, index = np.unique(np.concatenate((w[run], w[first[own]])), return_inverse=True)
+    docs, ed = np.unique(place, return_inverse=True)
+    far = np.flatnonzero(lists & is_hot[owner])
+    made = {
+        "words": words, "c": c[asked], "hot": np.where(is_hot, hot_at, -1)[asked], "pm": np.bincount(number[owner[own]], minlength=len(asked)),
+        "pw": index[len(run) :], "pn": n[own], "ev": ev, "ew": index[: len(run)], "ed": ed, "en": en,
+        "chunk": np.repeat(chunks, [len(x[0]) for x in events])[docs], "ds": np.concatenate([x[0] for x in events])[docs],
+        "hv": names[owner[far]], "hw": w[first[far]], "hn": n[far],
+    }
+    return np.bincount(np.minimum(n, K + 2), minlength=K + 3)[1 : K + 2].tolist(), [_pack(made[k].astype(t), k == "words") for k, t in OPEN.items()], sums
+
+
+def _asked(opened: DataFrame) -> DataFrame:
+    """The words whose probability a bucket asks for, without v; v, w, n of the bigrams of frequent contexts."""
+
+    def run(batches):
+        for batch in batches:
+            for bucket, row in zip(batch.column("bucket").to_pylist(), batch.column("open").to_pylist(), strict=True):
+                words, hv, hw, hn = _opened(row, "words", "hv", "hw", "hn")
+                v = pa.concat_arrays([pa.nulls(len(words), pa.int64()), _signed(hv)])
+                n = pa.concat_arrays([pa.nulls(len(words), pa.int64()), pa.array(hn)])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), bucket, np.int32)), v, _signed(np.concatenate((words, hw))), n], names=["bucket", "v", "w", "n"])
+
+    return opened.mapInArrow(run, "bucket int, v long, w long, n long")
 
 
 # ---------------------------------------------------------------------------------------------------
@@ -310,70 +408,45 @@ def _find(table_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndar
     return at, table_keys[at] == keys
 
 
-def _score_bucket(model: Katz, blocks: pa.Table, side: pa.Table) -> pa.Table:
-    """What the bucket's contexts add to the documents of each chunk, packed; rows of keys pass through."""
-    alone = pc.is_null(side.column("w"))
-    words, counts = (side.filter(alone).column(c).to_numpy() for c in ("v", "n"))
-    order = np.argsort(words.view(np.uint64))
-    words, counts = words.view(np.uint64)[order], counts[order]
-
-    def context(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        at, own = _find(words, hashes)
-        hot_at, hot = _find(model.hot, hashes)
-        c = np.where(own, counts[at] if len(counts) else 0, 0)
-        return (np.where(hot, model.hot_counts[hot_at], c) if len(model.hot) else c), hot, hot_at
-
-    pv, pw, pn = _pairs(blocks)
-    pv, pw, pn = (x[pn >= model.least] for x in (pv, pw, pn))
-    nexts, pwn = (side.filter(pc.invert(alone)).column(c).to_numpy() for c in ("w", "wn"))
-    order = np.argsort(nexts.view(np.uint64))
-    nexts, pwn = nexts.view(np.uint64)[order], pwn[order]
-    pwn = pwn[_find(nexts, pw)[0]] if len(pw) else np.zeros(0, np.int64)
-    pc_, hot, hot_at = context(pv)
-    prob, back = model.pair_prob(pn, pc_), model.unigrams.prob(pwn)
-    names, place = np.unique(pv, return_inverse=True)
-    alphas = Katz.alpha(np.bincount(place, prob, len(names)), np.bincount(place, back, len(names)))
-    pair_alpha = alphas[place] if len(names) else np.ones(0)
-    if len(model.hot):
-        pair_alpha = np.where(hot, model.hot_alpha[hot_at], pair_alpha)
-    delta = np.log10(prob) - np.log10(pair_alpha) - np.log10(back)
-    keys = pair_hash(pv, pw)
+def _settle(model: Katz, opened: pa.Table, side: pa.Table) -> pa.Table:
+    """What open events add to the documents of each chunk, packed. side: the words that the bucket asks for and their counts."""
+    keys = side.column("w").to_numpy().view(np.uint64)
     order = np.argsort(keys)
-    keys, delta = keys[order], delta[order]
-
+    keys, counts = keys[order], side.column("wn").to_numpy()[order]
     out = []
-    for chunk, ds, _, ev, ew, di, cn in _events(blocks):
-        c, hot, hot_at = context(ev)
-        at, own = _find(names, ev)
-        log_alpha = np.where(own, np.log10(alphas)[at] if len(alphas) else 0.0, 0.0)
-        if len(model.hot):
-            log_alpha = np.where(hot, np.log10(model.hot_alpha)[hot_at], log_alpha)
-        said = ev != START_HASH
-        at, listed = _find(keys, pair_hash(ev, ew))
-        score = log_alpha + np.where(said, np.log10(model.unigrams.prob(c)), 0.0) + np.where(listed, delta[at] if len(delta) else 0.0, 0.0)
-        size = len(ds)
-        known = np.bincount(di, cn * (said & (c > 0)), size).astype(np.uint32)
-        base = np.bincount(di, cn * np.where(said, model.base(c), 0.0), size)
-        out.append((chunk, None, _pack(ds), _pack(known), _pack(base), _pack(np.bincount(di, cn * score, size))))
-    for chunk, keys in zip(blocks.column("chunk").to_pylist(), blocks.column("keys").to_pylist(), strict=True):
-        if keys is not None:
-            out.append((chunk, keys, None, None, None, None))
-    cells = list(zip(*out, strict=True)) or [()] * 6
-    return pa.table({n: pa.array(list(c), pa.binary() if k else pa.int64()) for k, (n, c) in enumerate(zip(("chunk", "keys", "ds", "known", "base", "score"), cells, strict=True))})
-
-
-def _add_chunk(parts: pa.Table) -> pa.Table:
-    """key, known, base, score of the documents of a chunk."""
-    rows = parts.to_pylist()
+    for row in opened.column("open").to_pylist():
+        words, c, hot, pm, pw, pn, ev, ew, ed, en, chunk, ds = _opened(row, *list(OPEN)[:12])
+        if not len(ev):
+            continue
+        back = model.unigrams.prob(counts[_find(keys, words)[0]])
+        context = np.repeat(np.arange(len(c)), pm)
+        alphas = Katz.alpha(np.bincount(context, model.pair_prob(pn, c[context]), len(c)), np.bincount(context, back[pw], len(c)))
+        alphas = np.where(hot >= 0, model.hot_alpha[hot], alphas)
+        added = np.bincount(ed, en * (np.log10(alphas)[ev] + np.log10(back)[ew]), len(ds))
+        # a block's documents lie together
+        at = _runs(chunk)
+        out += [(int(chunk[s]), [_pack(ds[s:e]), _pack(added[s:e])]) for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+    names, sums = zip(*out, strict=True) if out else ((), ())
+    return pa.table({"chunk": pa.array(names, pa.int64()), "keys": pa.nulls(len(out), pa.binary()), "sums": pa.array(sums, pa.list_(pa.binary()))})
+
+
+def _add_chunk(log_factors: np.ndarray, parts: pa.Table) -> pa.Table:
+    """key, tokens, unknown, base, score of the documents of a chunk."""
     # chunks of the very same documents share a name: all sums fall to one list of keys, as for any repeated rows
-    keys = next(_unpack(r["keys"], np.int64) for r in rows if r["keys"] is not None)
-    sums = np.zeros((3, len(keys)))
-    for r in rows:
-        if r["keys"] is None:
-            ds = _unpack(r["ds"], np.uint32)
-            for k, (n, kind) in enumerate((("known", np.uint32), ("base", np.float64), ("score", np.float64))):
-                sums[k][ds] += _unpack(r[n], kind)
-    return pa.table({"key": pa.array(keys), "known": pa.array(sums[0].astype(np.int64)), "base": pa.array(sums[1]), "score": pa.array(sums[2])})
+    lists = [_unpack(k, np.int64).reshape(2, -1) for k in parts.column("keys").to_pylist() if k is not None]
+    keys, tokens = lists[0][0], sum(x[1] for x in lists)
+    unknown, base, score = np.zeros((3, len(keys)))
+    for row in parts.column("sums").to_pylist():
+        if row is None:
+            continue
+        if len(row) == 2:
+            np.add.at(score, _unpack(row[0], np.uint32), _unpack(row[1], np.float64))
+            continue
+        ds, *more = (_unpack(x, t, k == 0) for k, (x, t) in enumerate(zip(row, SUMS, strict=True)))
+        unknown[ds] += more[0]
+        base[ds] += more[1]
+        score[ds] += more[2] + more[3].reshape(-1, K) @ log_factors
+    return pa.table({"key": pa.array(keys), "tokens": pa.array(tokens), "unknown": pa.array(unknown.astype(np.int64)), "base": pa.array(base), "score": pa.array(score)})
 
 
 def train_and_score(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = 2) -> DataFrame:
@@ -394,33 +467,32 @@ def train_and_score(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     frequent[int(START_HASH.view(np.int64))] = n_train
     hot = np.sort(np.array(list(frequent), np.int64).view(np.uint64))
 
-    blocks = _blocks(keyed, buckets, hot)
-    counted = blocks.groupBy("bucket").applyInArrow(lambda b: _count_pairs(b, hot, least), "bucket int, v long, w long, n long")
-    pairs = written(counted.join(words.select(F.col("h").alias("w"), F.col("n").alias("wn")), "w", "left"), "bigrams")
-    pair_seen = {r["v"]: r["n"] for r in pairs.where("w IS NULL").groupBy("v").agg(F.sum("n").alias("n")).collect()}  # K + 1 rows
-    nexts, pairs = pairs.where("v IS NULL"), pairs.where("v IS NOT NULL AND w IS NOT NULL")
-    model = Katz(unigrams, discounts([pair_seen.get(r, 0) for r in range(1, K + 2)]), types, least)
-    model.hot = hot
-    model.hot_counts = np.array([frequent[int(h)] for h in hot.view(np.int64)], np.int64)
-    model.hot_alpha = _frequent_alpha(pairs, model)
+    hot_counts = np.array([frequent[int(h)] for h in hot.view(np.int64)], np.int64)
+    bottom = total + 0.5 * (types + 1)
+    learned = written(_blocks(keyed, buckets, hot).groupBy("bucket").applyInArrow(lambda b: _learn(b, hot, hot_counts, bottom, least), LEARNED), "learned", "uncompressed")
+    pair_seen = learned.agg(*(F.coalesce(F.sum(F.col("seen")[r]), F.lit(0)).alias(f"s{r}") for r in range(K + 1))).first()
+    opened = learned.where("bucket IS NOT NULL").select("bucket", "open")
+    asked = written(_asked(opened).join(words.select(F.col("h").alias("w"), F.col("n").alias("wn")), "w", "left").withColumn("wn", F.coalesce("wn", F.lit(0))), "bigrams")
+    model = Katz(unigrams, discounts(list(pair_seen)), types, least)
+    model.hot, model.hot_counts = hot, hot_counts
+    model.hot_alpha = _frequent_alpha(asked.where("v IS NOT NULL"), model)
 
     handle = Carried(spark, model)
-    plain = words.where(~F.col("h").isin([int(x) for x in hot.view(np.int64)])) if len(hot) < 1000 else words
-    side = nexts.select("bucket", "v", "w", "n", "wn").unionByName(
-        plain.select(_bucket("h", buckets).alias("bucket"), F.col("h").alias("v"), F.lit(None).cast("long").alias("w"), "n", F.lit(None).cast("long").alias("wn"))
-    )
-    parts = blocks.groupBy("bucket").cogroup(side.groupBy("bucket")).applyInArrow(lambda b, s: _score_bucket(handle.value, b, s), "chunk long, keys binary, ds binary, known binary, base binary, score binary")
-    added = parts.groupBy("chunk").applyInArrow(_add_chunk, "key long, known long, base double, score double")
-    sums = added.groupBy("key").agg(F.sum("known").alias("known"), F.sum("base").alias("base"), F.sum("score").alias("s"))
+    side = asked.where("v IS NULL").select("bucket", "w", "wn")
+    settled = opened.groupBy("bucket").cogroup(side.groupBy("bucket")).applyInArrow(lambda o, s: _settle(handle.value, o, s), "chunk long, keys binary, sums array<binary>")
+    log_factors = np.log10(model.pair_factors[1 : K + 1])
+    parts = learned.where("chunk IS NOT NULL").select("chunk", "keys", "sums").unionByName(settled)
+    added = parts.groupBy("chunk").applyInArrow(lambda p: _add_chunk(log_factors, p), "key long, tokens long, unknown long, base double, score double")
+    sums = added.groupBy("key").agg(*(F.sum(c).alias(a) for c, a in (("tokens", "tokens"), ("unknown", "unknown"), ("base", "base"), ("score", "s"))))
     # rows that repeat an id and a text share a key, and its sums
-    rows = docs.select(F.col(key).alias("id"), F.xxhash64(key, text).alias("key"), held_out(F.col(key), 5).alias("held_out"), (word_count(F.col(text)) + 1).alias("n_tokens"))
-    rows = rows.groupBy("id", "key", "held_out", "n_tokens").agg(F.count("*").alias("copies"))
+    rows = docs.select(F.col(key).alias("id"), F.xxhash64(key, text).alias("key"), held_out(F.col(key), 5).alias("held_out"))
+    rows = rows.groupBy("id", "key", "held_out").agg(F.count("*").alias("copies"))
     end = np.array([n_train])
-    every = rows.join(sums, "key").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    score = F.col("s") / F.col("copies") + F.lit(float(np.log10(unigrams.prob(end))[0]))
+    every = rows.join(sums, "key").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).withColumn("n_tokens", F.expr("tokens div copies"))
+    score = F.col("s") / F.col("copies")
     return every.select(
         F.col("id").alias(key), "held_out", "n_tokens",
-        (F.expr("known div copies") + int(n_train > 0)).alias("n_known"),
+        (F.expr("n_tokens - 1 - unknown div copies") + int(n_train > 0)).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") / F.col("copies") + F.lit(float(model.base(end)[0]))).alias("base_score"),
         score.alias("score"),
@@ -428,12 +500,6 @@ def train_and_score(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     )
 
 
-def _bucket(column: str, buckets: int):
-    """The unsigned hash modulo buckets, of a signed column."""
-    # 2 ** 64 = low + high; the sign bit's share is added back
-    return F.pmod(F.col(column) + F.when(F.col(column) < 0, F.lit((1 << 64) % buckets)).otherwise(F.lit(0)), F.lit(buckets)).cast("int")
-
-
 def _frequent_alpha(pairs: DataFrame, model: Katz) -> np.ndarray:
     """The backoff weights of the frequent contexts, whose bigrams lie in several buckets."""
     factors, words = model.pair_factors.tolist(), model.unigrams

@@ -892,6 +892,24 @@ def test_katz_discounts_bigrams_seen_once(spark, tmp_path):
         assert r.score == pytest.approx(sum(math.log10(prob(v, w)) for v, w in zip(s, s[1:], strict=False)))
 
 
+def test_katz_makes_blocks_once(spark, monkeypatch):
+    chunks, blocks = spark.sparkContext.accumulator(0), katz._blocks
+
+    def spy(*args):
+        def run(batches):
+            for batch in batches:
+                chunks.add(len(batch.column("keys").drop_null()))
+                yield batch
+
+        made = blocks(*args)
+        return made.mapInArrow(run, made.schema)
+
+    monkeypatch.setattr(katz, "_blocks", spy)
+    texts = ["the cat and the dog " * 3 + f"w{k}" for k in range(20)]
+    assert katz.train_and_score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)).count() == 20
+    assert chunks.value == 1
+
+
 def test_operators_run_where_workers_cannot_import_the_package(tmp_path):
     """In a process in another folder, whose workers find no eventspark."""
     import os
