@@ -291,17 +291,19 @@ def _learn(blocks: pa.Table, hot: np.ndarray, hot_counts: np.ndarray, bottom: fl
     bottom: the base scores' denominator."""
     out, chunks, events = [], [], []
     cols: dict[str, list[np.ndarray]] = {k: [] for k in ("vs", "vn", "w", "key", "taught")}
-    for chunk, keys, *row in zip(*(blocks.column(c).to_pylist() for c in ("chunk", "keys", *BLOCK)), strict=True):
+    for k in range(blocks.num_rows):
+        chunk, keys = (blocks.column(c)[k].as_py() for c in ("chunk", "keys"))
         if keys is not None:
             out.append((None, None, None, chunk, keys, None))
             continue
-        ds, train, vs, vn, ws, wi, pn, di, cn = (_unpack(x, t, c in ASCENDING) for x, (c, t) in zip(row, BLOCK.items(), strict=True))
+        row = {c: blocks.column(c)[k].as_buffer() for c in BLOCK}
+        _, train, vs, vn, ws, wi, pn, di, cn = (_unpack(x, BLOCK[c], c in ASCENDING) for c, x in row.items())
         w = ws[wi]
         taught = np.add.reduceat(cn * train[di], np.cumsum(pn, dtype=np.int64) - pn, dtype=np.uint32)
-        for k, x in zip(cols, (vs, vn, w, pair_hash(np.repeat(vs, vn), w), taught), strict=True):
-            cols[k].append(x)
+        for c, x in zip(cols, (vs, vn, w, pair_hash(np.repeat(vs, vn), w), taught), strict=True):
+            cols[c].append(x)
         chunks.append(chunk)
-        events.append((ds, pn, di, cn))
+        events.append({c: row[c] for c in ("ds", "pn", "di", "cn")})
     if chunks:
         seen, opened, sums = _learn_events(*(np.concatenate(cols.pop(k)) for k in list(cols)), chunks, events, hot, hot_counts, bottom, least)
         out += [(blocks.column("bucket")[0].as_py(), seen, opened, None, None, None), *((None, None, None, chunk, None, x) for chunk, x in zip(chunks, sums, strict=True))]
@@ -309,7 +311,7 @@ def _learn(blocks: pa.Table, hot: np.ndarray, hot_counts: np.ndarray, bottom: fl
     return pa.table({c: pa.array(list(x), t) for c, x, t in zip(("bucket", "seen", "open", "chunk", "keys", "sums"), zip(*out, strict=True), types, strict=True)})
 
 
-def _learn_events(vs: np.ndarray, vn: np.ndarray, w: np.ndarray, key: np.ndarray, taught: np.ndarray, chunks: list[int], events: list[tuple], hot: np.ndarray, hot_counts: np.ndarray, bottom: float, least: int):
+def _learn_events(vs: np.ndarray, vn: np.ndarray, w: np.ndarray, key: np.ndarray, taught: np.ndarray, chunks: list[int], events: list[dict], hot: np.ndarray, hot_counts: np.ndarray, bottom: float, least: int):
     """How many bigrams were seen 1, 2, ... K + 1 times; the columns of OPEN; and for each block those of SUMS."""
     # bigrams of blocks to bigrams of the bucket
     order = np.argsort(key)
@@ -328,10 +330,12 @@ def _learn_events(vs: np.ndarray, vn: np.ndarray, w: np.ndarray, key: np.ndarray
     said = names != START_HASH
     base, new = np.where(said, np.log10((c + 0.5) / bottom), 0.0), said & (c == 0)
 
-    # block by block, as there are more events than anything else
-    sums, left, done, before = [], [], 0, 0
-    for ds, pn, di, cn in events:
+    # block by block, and unpacked a second time, as there are more events than anything else
+    sums, left, places, done, before = [], [], [], 0, 0
+    for row in events:
+        ds, pn, di, cn = (_unpack(x, BLOCK[c], c in ASCENDING) for c, x in row.items())
         many, size = len(pn), len(ds)
+        places.append(ds)
         own, r = context[done : done + many], here[done : done + many]
         listed = r >= least
         part = np.where(listed, np.log10(np.maximum(r, 1) / (c[own] + 0.5)), 0.0)
@@ -343,6 +347,7 @@ def _learn_events(vs: np.ndarray, vn: np.ndarray, w: np.ndarray, key: np.ndarray
         left.append((np.repeat(np.arange(done, done + many), pn)[rest], di[rest].astype(np.int64) + before, cn[rest]))
         done, before = done + many, before + size
 
+    del here
     run, place, en = (np.concatenate(x) for x in zip(*left, strict=True))
     asked, ev = np.unique(context[run], return_inverse=True)
     number = np.full(len(names), -1)
@@ -356,7 +361,7 @@ def _learn_events(vs: np.ndarray, vn: np.ndarray, w: np.ndarray, key: np.ndarray
     made = {
         "words": words, "c": c[asked], "hot": np.where(is_hot, hot_at, -1)[asked], "pm": np.bincount(number[owner[own]], minlength=len(asked)),
         "pw": index[len(run) :], "pn": n[own], "ev": ev, "ew": index[: len(run)], "ed": ed, "en": en,
-        "chunk": np.repeat(chunks, [len(x[0]) for x in events])[docs], "ds": np.concatenate([x[0] for x in events])[docs],
+        "chunk": np.repeat(chunks, [len(x) for x in places])[docs], "ds": np.concatenate(places)[docs],
         "hv": names[owner[far]], "hw": w[first[far]], "hn": n[far],
     }
     return np.bincount(np.minimum(n, K + 2), minlength=K + 3)[1 : K + 2].tolist(), [_pack(made[k].astype(t), k == "words") for k, t in OPEN.items()], sums
